@@ -1,11 +1 @@
-"""Operators for preparing training corpora.
-
-Functions that run in executors' Python workers are shipped by value, so the
-package need not be installed on the executors.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for preparing training corpora."""

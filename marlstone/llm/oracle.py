@@ -74,4 +74,16 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN one USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_sharding": OP1, "op8_secret_scan": OP8, "op10_exact_dedup": OP10}
+OP2 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS body
+  FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id != keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id != keeper THEN keeper END AS refers_to,
+       CASE WHEN payload_bytes >= 1000 AND page_id != keeper THEN NULL ELSE true END AS verified
+FROM k
+"""
+
+ORACLE_SQL = {"op2_warc_normaliser": OP2, "op1_sharding": OP1, "op8_secret_scan": OP8, "op10_exact_dedup": OP10}
