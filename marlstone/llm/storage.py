@@ -14,7 +14,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests), a local one of this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return store.makeQualified(path).toString().rstrip("/")
     if not _local_folder:
         _local_folder.append("file://" + tempfile.mkdtemp(prefix="spark-marlstone-"))
     return _local_folder[0]

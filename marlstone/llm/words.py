@@ -96,9 +96,9 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int = 5) -> Iterator
             np.not_equal(s[1:], s[:-1], out=keep[1:])
             yield s[keep]
         elif b > a:
-            h = np.uint64(b - a)
-            for x in hashes[a:b]:
-                h = mix(np.array([h + x], np.uint64))[0]
-            yield np.array([h], np.uint64)
+            h = np.array([b - a], np.uint64)
+            for k in range(a, b):
+                h = mix(h + hashes[k : k + 1])
+            yield h
         else:
             yield np.zeros(0, np.uint64)
