@@ -274,25 +274,32 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode each row's text: doc_id, n_tokens, ids_sha256, decoded_sha256, restored.
+def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode each row's text: doc_id, n_tokens, ids_sha256, decoded_sha256, restored and, if asked for, ids.
 
-    Ids stay in the worker, so no array leaves it; restored: the decoded bytes are the text's.
+    restored: the decoded bytes are the text's.
     """
     ship(docs.sparkSession)
     data = _vocabulary(vocab_path)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, restored boolean" + ", ids array<int>" * with_ids
 
     def run(batches):
         import pyarrow as pa
 
         codec = encoder(data)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            rows = []
-            for text, ids in zip(texts, codec.encode(iter(texts))):
-                back = codec.decode(ids)
-                rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
-            columns = [b.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "restored"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, restored boolean")
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                b = whole.slice(first, 1000)
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                rows, kept = [], []
+                for text, ids in zip(texts, codec.encode(iter(texts))):
+                    back = codec.decode(ids)
+                    rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
+                    kept.append(ids)
+                columns = [b.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.bool_()))]
+                if with_ids:
+                    ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

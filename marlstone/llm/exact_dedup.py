@@ -112,3 +112,14 @@ def _regrouped(docs: DataFrame, found: DataFrame, unequal: DataFrame) -> DataFra
     groups = rows.groupBy("normal").agg(best, F.count(F.lit(1)).alias("group_size"))
     joined = rows.join(groups, "normal")
     return joined.select("doc_id", (-F.col("best.neg_id")).alias("keep_id"), "group_size", (-F.col("best.neg_row") == F.col("row")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns; one row of each group of equal texts."""
+    verdict = materialize(exact_dedup(docs, id_col, text_col), "verdict")
+    marked = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
+    gone = verdict.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone")).distinct()
+    rest = marked.join(gone, marked[id_col].eqNullSafe(gone["_id"]) & (marked["_sha"] == gone["_gone"]), "left_anti")
+    if not verdict.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).isEmpty():
+        rest = rest.dropDuplicates([id_col, "_sha"])  # rows that repeat both identifier and text
+    return rest.select(*[marked[c] for c in docs.columns])

@@ -59,12 +59,12 @@ def targets(sizes: DataFrame, weights: list[float] = WEIGHTS, most: float = MAX_
 
 
 def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, copies, taken, first_finish.
+    """One row per row of docs: doc_id, source, mark, size, source_size, target, copies, taken, first_finish.
 
     first_finish is the virtual time at which the first copy leaves its queue:
-    the order of the mix.
+    the order of the mix; mark is a hash of the text.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("mark"), word_count(F.col(text_col)).alias("size")).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "sizes")
     goals = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     return _taken(_finish_times(rows, goals, seed), rows, goals)
@@ -112,4 +112,16 @@ def _taken(copies: DataFrame, rows: DataFrame, goals: DataFrame) -> DataFrame:
     goal = goals.select(F.col("source").alias("q"), "source_size", "target")
     out = out.join(F.broadcast(goal) if _few(goals) else goal, out["source"].eqNullSafe(goal["q"]))
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("copies", zero).alias("copies"), F.coalesce("taken", zero).cast("long").alias("taken"), "first_finish")
+    return out.select("doc_id", "source", "mark", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("copies", zero).alias("copies"), F.coalesce("taken", zero).cast("long").alias("taken"), "first_finish")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
+    """The rows of the mix, each as often as it is taken, with all columns of docs."""
+    took = materialize(fair_mix(docs, id_col, text_col, source_col, seed).filter("copies > 0").groupBy("doc_id", "source", "mark").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "mix")
+    names = {"doc_id": "_id", "source": "_source", "mark": "_mark"}
+    took = took.withColumnsRenamed(names)
+    marked = docs.withColumn("_text", F.xxhash64(text_col))
+    if not took.filter("_rows > 1").isEmpty():
+        marked = marked.dropDuplicates([id_col, source_col, "_text"])  # equal rows share their copies
+    rows = marked.join(took, marked[id_col].eqNullSafe(took["_id"]) & marked[source_col].eqNullSafe(took["_source"]) & (marked["_text"] == took["_mark"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[marked[c] for c in docs.columns])
