@@ -1,10 +1,6 @@
 """Registered queries over the driver's tables, each with the SQL it is compared with."""
 
-from __future__ import annotations
+from . import features, metrics, models, privacy, quality, relational, selection, streams, timeseries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
