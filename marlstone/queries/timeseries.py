@@ -1 +1,68 @@
-"""To be filled."""
+"""Time-series queries over daily event values of each type."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import timeseries as T
+from .registry import query, table
+
+
+def daily(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01")).alias("t")).agg(F.sum("value").alias("y"))
+
+
+DAILY = "s AS (SELECT event_type, date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS t, sum(value) AS y FROM events GROUP BY 1, 2)"
+
+
+def rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query(f"WITH {DAILY} SELECT event_type, t, CASE WHEN row_number() OVER w >= 5 THEN round(avg(y) OVER (w ROWS 4 PRECEDING), 6) END AS moving_average FROM s WINDOW w AS (PARTITION BY event_type ORDER BY t)")
+def moving_average(spark, sf_dir):
+    return rounded(T.moving_average(daily(spark, sf_dir), ["event_type"], "t", "y"), "moving_average").drop("y")
+
+
+@query(f"WITH {DAILY}, d AS (SELECT *, y - lag(y) OVER (PARTITION BY event_type ORDER BY t) AS d FROM s) SELECT event_type, t, round(d - lag(d) OVER (PARTITION BY event_type ORDER BY t), 6) AS difference FROM d")
+def differencing(spark, sf_dir):
+    return rounded(T.difference(daily(spark, sf_dir), ["event_type"], "t", "y", times=2), "difference").drop("y")
+
+
+@query(f"WITH {DAILY} SELECT event_type, t, round(y - lag(y, 7) OVER (PARTITION BY event_type ORDER BY t), 6) AS difference FROM s")
+def seasonal_difference(spark, sf_dir):
+    return rounded(T.difference(daily(spark, sf_dir), ["event_type"], "t", "y", 7), "difference").drop("y")
+
+
+@query(f"""WITH {DAILY}, l AS (SELECT event_type, y, lag(y) OVER (PARTITION BY event_type ORDER BY t) AS x FROM s), f AS (SELECT * FROM l WHERE x IS NOT NULL)
+SELECT event_type, round(sum(x * y) / (sum(x * x) + 1e-6), 6) AS coefficient, round(avg(y) - sum(x * y) / (sum(x * x) + 1e-6) * avg(x), 4) AS intercept FROM f GROUP BY 1""")
+def ar1_fit(spark, sf_dir):
+    out = T.autoregression(daily(spark, sf_dir), ["event_type"], "t", "y")
+    return out.select("event_type", F.round(F.col("coefficients")[0], 6).alias("coefficient"), F.round("intercept", 4).alias("intercept"))
+
+
+@query()
+def ar3_fit(spark, sf_dir):
+    return T.autoregression(daily(spark, sf_dir), ["event_type"], "t", "y", 3)
+
+
+@query(f"""WITH RECURSIVE {DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t) AS k, count(*) OVER (PARTITION BY event_type) AS c FROM s),
+r AS (SELECT event_type, k, c, y AS level FROM n WHERE k = 1 UNION ALL SELECT n.event_type, n.k, n.c, 0.3 * n.y + 0.7 * r.level FROM r JOIN n ON n.event_type = r.event_type AND n.k = r.k + 1 WHERE n.k < n.c)
+SELECT event_type, round(arg_max(level, k), 6) AS level FROM r GROUP BY 1""")
+def exp_smoothing(spark, sf_dir):
+    return T.series(daily(spark, sf_dir), ["event_type"], "t", "y").select("event_type", F.round(T.simple_smoothing(F.col("ys"), 0.3), 6).alias("level"))
+
+
+@query()
+def holt_forecast(spark, sf_dir):
+    return T.series(daily(spark, sf_dir), ["event_type"], "t", "y").select("event_type", T.holt_forecast(F.col("ys"), 0.3, 0.1, 7).alias("forecast"))
+
+
+@query(f"WITH {DAILY} SELECT event_type, round(regr_slope(y, t), 6) AS slope, round(regr_intercept(y, t), 6) AS intercept FROM s GROUP BY 1")
+def linear_trend(spark, sf_dir):
+    return rounded(T.linear_trend(daily(spark, sf_dir), ["event_type"], "t", "y"), "slope", "intercept")
+
+
+@query(f"WITH {DAILY} SELECT DISTINCT t, round(sin(2 * pi() * t / 7), 6) AS sin1, round(cos(2 * pi() * t / 7), 6) AS cos1, round(sin(4 * pi() * t / 7), 6) AS sin2, round(cos(4 * pi() * t / 7), 6) AS cos2 FROM s")
+def fourier_features(spark, sf_dir):
+    return rounded(T.fourier_features(daily(spark, sf_dir).select("t").distinct(), "t", 7.0, 2), "sin1", "cos1", "sin2", "cos2")
