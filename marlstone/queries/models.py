@@ -26,7 +26,7 @@ def ridge_regression(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT covar_pop(l_quantity, l_extendedprice) AS c, var_pop(l_quantity) AS v FROM lineitem)
-SELECT round(greatest(c - 100, 0) / v, 4) AS slope FROM s""")
+SELECT round(sign(c) * greatest(abs(c) - 100, 0) / v, 4) AS slope FROM s""")
 def lasso_regression(spark, sf_dir):
     b = M.lasso(table(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice", 100.0, passes=2000)
     return spark.createDataFrame([(round(b["l_quantity"], 4),)], "slope double")

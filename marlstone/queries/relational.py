@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import relational as R
 from .registry import query, table
 
-VERIFIED = F.col("o_orderstatus") == "F"
+VERIFIED = "o_orderstatus = 'F'"
 
 
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def contribution_weights(spark, sf_dir):
  coalesce(sum(records) FILTER (WHERE o_orderstatus = 'F'), 0)::BIGINT AS verified_records, count(DISTINCT o_custkey) AS contributors,
  count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-08-01' - INTERVAL 30 DAY) AS recent_contributions FROM c""")
 def contribution_stats(spark, sf_dir):
-    return R.contribution_stats(contributions(spark, sf_dir), "o_custkey", "records", VERIFIED, "o_orderdate", F.lit("1998-08-01"))
+    return R.contribution_stats(contributions(spark, sf_dir), "o_custkey", "records", F.expr(VERIFIED), "o_orderdate", F.lit("1998-08-01"))
 
 
 @query(f"""WITH {CONTRIBUTIONS}, s AS (SELECT o_custkey, sum(records)::BIGINT AS records FROM c WHERE o_orderstatus = 'F' GROUP BY 1)
@@ -62,13 +62,13 @@ def member_rankings(spark, sf_dir):
 
 
 @query("""SELECT n_name, count(DISTINCT c_custkey) AS members, count(DISTINCT c_custkey) FILTER (WHERE c_acctbal >= 0) AS active_members,
- count(o_orderkey) AS contributions, round(avg(o_totalprice), 4) AS avg_value
+ count(o_orderkey) AS contributions, round(avg(o_totalprice), 6) AS avg_value
 FROM nation JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def consortium_stats(spark, sf_dir):
     per_member = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("value"))
     members = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     joined = members.join(per_member, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return joined.groupBy("n_name").agg(F.count_distinct("c_custkey").alias("members"), F.count_distinct(F.when(F.col("c_acctbal") >= 0, F.col("c_custkey"))).alias("active_members"), F.coalesce(F.sum("n"), F.lit(0)).alias("contributions"), F.round(F.sum("value") / F.sum("n"), 4).alias("avg_value"))
+    return joined.groupBy("n_name").agg(F.count_distinct("c_custkey").alias("members"), F.count_distinct(F.when(F.col("c_acctbal") >= 0, F.col("c_custkey"))).alias("active_members"), F.coalesce(F.sum("n"), F.lit(0)).alias("contributions"), F.round(F.sum("value") / F.sum("n"), 6).alias("avg_value"))
 
 
 @query("""SELECT CASE WHEN c_acctbal >= 9000 THEN 'excellent' WHEN c_acctbal >= 7000 THEN 'good' WHEN c_acctbal >= 5000 THEN 'fair' ELSE 'poor' END AS band, count(*) AS n
