@@ -137,6 +137,7 @@ def test_values_of_many_owners_are_examples(spark):
 @pytest.mark.parametrize("small", [128, 3])
 def test_jaccard_classes_are_brute_force(docs, rows, monkeypatch, small):
     monkeypatch.setattr(jaccard_join, "ROWS_OF_REGION", small)
+    monkeypatch.setattr(jaccard_join, "ROWS_OF_CHUNK", small)
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(docs).collect()}
     sets = {r[0]: cases.shingle_set(r[1]) for r in rows}
 
