@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -268,6 +269,27 @@ def test_language_labels_of_held_out_rows_change_nothing(docs):
     assert language_id.fit(docs) == language_id.fit(other)
 
 
+def test_language_margin_is_the_same_at_every_length():
+    rng = random.Random(3)
+    vocabulary = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(4000)] for lang, letters in (("aa", "abcdefghor"), ("bb", "abcdefghis"))}
+    prose = lambda lang, n: " ".join(rng.choice(vocabulary[lang]) for _ in range(n))
+    model = tuple((lang, prose(lang, 20_000)[: 1 << 15].encode()) for lang in ("aa", "bb"))
+    for lang in ("aa", "bb"):
+        text = prose(lang, 300_000)
+        margins = []
+        for n in (30_000, 300_000, 2_000_000):
+            found, score, margin = language_id.classify(model, text[:n])
+            assert found == lang and score > 0.99
+            margins.append(margin)
+        assert min(margins) > 0.7 * max(margins) > 0.01
+
+
+def test_language_training_passages_come_from_the_whole_row(spark):
+    rows = [(i, "start " * 2000 + "finish " * 2000, "en") for i in range(40)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert b"start" in model[0][1] and b"finish" in model[0][1]
+
+
 def test_toxicity_learns_its_words(spark):
     rng = np.random.default_rng(0)
     clean = [f"w{i}" for i in range(300)]
