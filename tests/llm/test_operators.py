@@ -284,6 +284,23 @@ def test_language_margin_is_the_same_at_every_length():
         assert min(margins) > 0.7 * max(margins) > 0.01
 
 
+def test_texts_of_an_unlearned_language_are_rejected(spark):
+    rng = random.Random(8)
+    vocabulary = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(1500)] for lang, letters in (("aa", "aeionrstlu"), ("bb", "aeiomkpdgz"), ("none", "aeioubcdfghjlmnpqrstvwxyz"))}
+    prose = lambda lang, n: " ".join(rng.choice(vocabulary[lang]) for _ in range(n))
+    rows = [(i, prose(("aa", "bb")[i % 2], rng.randint(60, 600)), ("aa", "bb")[i % 2]) for i in range(1600)]
+    rows += [(10_000 + i, prose("none", (150, 250, 600, 9000)[i % 4]), None) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).localCheckpoint()
+    model = language_id.fit(docs)
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    strange = [r for i, r in got.items() if i >= 10_000]
+    assert sum(r["rejected"] for r in strange) >= 0.95 * len(strange)
+    known = [got[i] for i, _, _ in rows if i < 10_000 and cases.held(i)]
+    assert sum(r["rejected"] for r in known) <= 0.03 * len(known)
+    kept = {r["doc_id"] for r in language_id.keep_identified(docs, model).collect()}
+    assert kept == {i for i, r in got.items() if not r["rejected"]}
+
+
 def test_language_training_passages_come_from_the_whole_row(spark):
     rows = [(i, "start " * 2000 + "finish " * 2000, "en") for i in range(40)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
