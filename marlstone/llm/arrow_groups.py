@@ -37,4 +37,8 @@ def groups(batches: Iterable, n_keys: int) -> Iterator:
 def _joined(pa, parts: list):
     if len(parts) == 1:
         return parts[0]
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    schema = pa.schema([f.with_type(pa.large_binary()) if pa.types.is_binary(f.type) else f for f in parts[0].schema])  # a chunk of binary ends at 2 GiB
+    batches = pa.Table.from_batches(parts).cast(schema).combine_chunks().to_batches()
+    if len(batches) != 1:
+        raise RuntimeError(f"a group came as {len(batches)} batches")
+    return batches[0]

@@ -150,6 +150,30 @@ def test_jaccard_classes_are_brute_force(docs, rows, monkeypatch, small):
     assert got == {(i, len(s), classes[i]) for i, s in sets.items()}
 
 
+def test_joined_groups_have_offsets_for_more_than_2_gib():
+    import pyarrow as pa
+    from marlstone.llm.arrow_groups import groups
+
+    batch = lambda keys, shapes: pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shapes, pa.binary())], ["key", "shape"])
+    found = list(groups([batch([1, 2], [b"a", b"b"]), batch([2, 2], [b"c", None]), batch([2, 3], [b"d", b"e"])], 1))
+    assert [g.column(1).to_pylist() for g in found] == [[b"a"], [b"b", b"c", None, b"d"], [b"e"]]
+    assert found[1].schema.field("shape").type == pa.large_binary()
+
+
+def test_a_group_that_stays_in_several_batches_is_an_error(monkeypatch):
+    import pyarrow as pa
+    from marlstone.llm import arrow_groups
+
+    class Chunked:
+        cast = combine_chunks = lambda self, *a: self
+        to_batches = lambda self: part * 2
+
+    part = [pa.RecordBatch.from_arrays([pa.array([1])], ["key"])]
+    monkeypatch.setattr(pa, "Table", type("Table", (), {"from_batches": staticmethod(lambda parts: Chunked())}))
+    with pytest.raises(RuntimeError):
+        arrow_groups._joined(pa, part * 2)
+
+
 def test_one_document_of_each_class_stays(docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
