@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import box_cox, clip, interpolate, normal_quantile, present, yeo_johnson
+from .ordering import most_frequent, order_statistics
 
 
 class ColumnwiseTransformer:
@@ -24,7 +25,11 @@ class ColumnwiseTransformer:
         self.columns = list(columns)
         self.params: DataFrame | None = None
 
-    def stats(self, c: Column) -> dict[str, Column]:
+    #: Percentiles that stats() needs, found exactly without moving a column to one task.
+    fractions: Sequence[float] = ()
+
+    def stats(self, c: Column, q: Column | None = None) -> dict[str, Column]:
+        """Statistics of a column; q is the array of its percentiles at fractions."""
         return {}
 
     def forward(self, c: Column, s: dict[str, Column]) -> Column:
@@ -34,7 +39,9 @@ class ColumnwiseTransformer:
         raise NotImplementedError
 
     def fit(self, df: DataFrame) -> ColumnwiseTransformer:
-        self.params = df.agg(*[F.struct(*[v.alias(k) for k, v in self.stats(present(df, c).cast("double")).items()] or [F.lit(0).alias("none")]).alias(f"_{c}") for c in self.columns])
+        found = order_statistics(df, {c: present(df, c) for c in self.columns}, self.fractions) if self.fractions else {}
+        q = {c: F.array(*map(F.lit, found[c])).cast("array<double>") if found else None for c in self.columns}
+        self.params = df.agg(*[F.struct(*[v.alias(k) for k, v in self.stats(present(df, c).cast("double"), q[c]).items()] or [F.lit(0).alias("none")]).alias(f"_{c}") for c in self.columns])
         return self
 
     def _apply(self, df: DataFrame, how: Callable) -> DataFrame:
@@ -68,7 +75,7 @@ class StandardScaler(ColumnwiseTransformer):
         super().__init__(columns)
         self.with_mean, self.with_std = with_mean, with_std
 
-    def stats(self, c):
+    def stats(self, c, q=None):
         return {"mean": F.avg(c) if self.with_mean else F.lit(0.0), "scale": _or_one(F.stddev_pop(c)) if self.with_std else F.lit(1.0)}
 
     def forward(self, c, s):
@@ -85,7 +92,7 @@ class MinMaxScaler(ColumnwiseTransformer):
         super().__init__(columns)
         self.low, self.high = feature_range
 
-    def stats(self, c):
+    def stats(self, c, q=None):
         return {"least": F.min(c), "width": _or_one(F.max(c) - F.min(c))}
 
     def forward(self, c, s):
@@ -96,7 +103,7 @@ class MinMaxScaler(ColumnwiseTransformer):
 
 
 class MaxAbsScaler(ColumnwiseTransformer):
-    def stats(self, c):
+    def stats(self, c, q=None):
         return {"scale": _or_one(F.max(F.abs(c)))}
 
     def forward(self, c, s):
@@ -111,10 +118,10 @@ class RobustScaler(ColumnwiseTransformer):
 
     def __init__(self, columns: Sequence[str], quantile_range: tuple[float, float] = (25.0, 75.0)) -> None:
         super().__init__(columns)
-        self.points = [quantile_range[0] / 100, 0.5, quantile_range[1] / 100]
+        self.fractions = [quantile_range[0] / 100, 0.5, quantile_range[1] / 100]
 
-    def stats(self, c):
-        return {"q": F.percentile(c, F.array(*map(F.lit, self.points)))}
+    def stats(self, c, q=None):
+        return {"q": q}
 
     def forward(self, c, s):
         return (c - s["q"][1]) / _or_one(s["q"][2] - s["q"][0])
@@ -129,10 +136,11 @@ class OutlierHandler(ColumnwiseTransformer):
     def __init__(self, columns: Sequence[str], method: str = "iqr", threshold: float = 1.5, strategy: str = "clip") -> None:
         super().__init__(columns)
         self.method, self.threshold, self.strategy = method, threshold, strategy
+        self.fractions = (0.25, 0.75) if method == "iqr" else ()
 
-    def stats(self, c):
+    def stats(self, c, q=None):
         if self.method == "iqr":
-            return {"q": F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))}
+            return {"q": q}
         return {"q": F.array(F.avg(c) - self.threshold * F.stddev_pop(c), F.avg(c) + self.threshold * F.stddev_pop(c))}
 
     def forward(self, c, s):
@@ -147,13 +155,13 @@ class QuantileTransformer(ColumnwiseTransformer):
 
     def __init__(self, columns: Sequence[str], n_quantiles: int = 100, output: str = "uniform") -> None:
         super().__init__(columns)
-        self.points, self.output = [k / (n_quantiles - 1) for k in range(n_quantiles)], output
+        self.fractions, self.output = [k / (n_quantiles - 1) for k in range(n_quantiles)], output
 
-    def stats(self, c):
-        return {"q": F.percentile(c, F.array(*map(F.lit, self.points)))}
+    def stats(self, c, q=None):
+        return {"q": q}
 
     def forward(self, c, s):
-        u = interpolate(c, s["q"], F.array(*map(F.lit, self.points)))
+        u = interpolate(c, s["q"], F.array(*map(F.lit, self.fractions)))
         return u if self.output == "uniform" else normal_quantile(u)
 
 
@@ -166,7 +174,7 @@ class PowerTransformer(ColumnwiseTransformer):
         super().__init__(columns)
         self.power, self.standardize = (yeo_johnson if method == "yeo-johnson" else box_cox), standardize
 
-    def stats(self, c):
+    def stats(self, c, q=None):
         tried = [(F.struct(F.var_pop(self.power(c, F.lit(g))).alias("v"), F.lit(k).alias("k"), F.avg(self.power(c, F.lit(g))).alias("m"))) for k, g in enumerate(self.GRID)]
         best = F.array_min(F.filter(F.array(*tried), lambda x: x["v"] > 0))
         return {"lam": F.element_at(F.array(*map(F.lit, self.GRID)), best["k"] + 1), "mean": best["m"], "scale": _or_one(F.sqrt(best["v"]))}
@@ -182,9 +190,17 @@ class SimpleImputer(ColumnwiseTransformer):
     def __init__(self, columns: Sequence[str], strategy: str = "mean", fill_value: float | None = None) -> None:
         super().__init__(columns)
         self.strategy, self.fill_value = strategy, fill_value
+        self.fractions = (0.5,) if strategy == "median" else ()
+
+    def fit(self, df: DataFrame) -> SimpleImputer:
+        if self.strategy != "most_frequent":
+            return super().fit(df)
+        modes = {c: most_frequent(df, present(df, c).cast("double")).first() for c in self.columns}
+        self.params = df.sparkSession.range(1).select(*[F.struct(F.lit(m[0] if (m := modes[c]) else 0.0).alias("fill")).alias(f"_{c}") for c in self.columns])
+        return self
 
-    def stats(self, c):
-        made = {"mean": lambda: F.avg(c), "median": lambda: F.median(c), "most_frequent": lambda: F.mode(c, True), "constant": lambda: F.lit(float(self.fill_value or 0))}
+    def stats(self, c, q=None):
+        made = {"mean": lambda: F.avg(c), "median": lambda: q[0] if q is not None else F.lit(None), "constant": lambda: F.lit(float(self.fill_value or 0)), "most_frequent": lambda: F.lit(None)}
         return {"fill": F.coalesce(made[self.strategy](), F.lit(0.0))}
 
     def forward(self, c, s):
@@ -197,10 +213,11 @@ class KBinsDiscretizer(ColumnwiseTransformer):
     def __init__(self, columns: Sequence[str], n_bins: int = 5, strategy: str = "quantile") -> None:
         super().__init__(columns)
         self.n_bins, self.strategy = n_bins, strategy
+        self.fractions = [k / n_bins for k in range(n_bins + 1)] if strategy == "quantile" else ()
 
-    def stats(self, c):
+    def stats(self, c, q=None):
         if self.strategy == "quantile":
-            return {"edges": F.percentile(c, F.array(*[F.lit(k / self.n_bins) for k in range(self.n_bins + 1)]))}
+            return {"edges": q}
         return {"edges": F.transform(F.sequence(F.lit(0), F.lit(self.n_bins)), lambda k: F.min(c) + k * (F.max(c) - F.min(c)) / self.n_bins)}
 
     def forward(self, c, s):

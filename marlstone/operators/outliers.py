@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import dot, present
+from .ordering import order_statistics, percentile_row
 
 
 def _any(tests: Sequence[Column]) -> Column:
@@ -27,7 +28,7 @@ def flag_zscore(df: DataFrame, columns: Sequence[str], threshold: float = 3.0) -
 
 
 def flag_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
-    row = df.agg(*[F.percentile(present(df, c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"_{c}") for c in columns])
+    row = percentile_row(df, {f"_{c}": present(df, c) for c in columns}, (0.25, 0.75))
     width = lambda c: F.col(f"_{c}")[1] - F.col(f"_{c}")[0]
     tests = [(F.col(c) < F.col(f"_{c}")[0] - k * width(c)) | (F.col(c) > F.col(f"_{c}")[1] + k * width(c)) for c in columns]
     return df.crossJoin(F.broadcast(row)).select(*df.columns, _any(tests).alias("is_outlier"))
@@ -35,12 +36,10 @@ def flag_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame
 
 def flag_mad(df: DataFrame, columns: Sequence[str], threshold: float = 3.5) -> DataFrame:
     """0.6745 |x - median| / MAD above the threshold; a MAD of 0 counts as 1."""
-    medians = df.agg(*[F.median(present(df, c)).alias(f"_{c}") for c in columns])
-    centred = df.crossJoin(F.broadcast(medians))
-    mads = centred.agg(*[F.median(F.abs(F.col(c) - F.col(f"_{c}"))).alias(f"_{c}_mad") for c in columns])
-    scale = lambda c: F.when(F.col(f"_{c}_mad") == 0, 1.0).otherwise(F.col(f"_{c}_mad"))
-    tests = [0.6745 * F.abs(F.col(c) - F.col(f"_{c}")) / scale(c) > threshold for c in columns]
-    return centred.crossJoin(F.broadcast(mads)).select(*df.columns, _any(tests).alias("is_outlier"))
+    medians = {c: q[0] for c, q in order_statistics(df, {c: present(df, c) for c in columns}, (0.5,)).items()}
+    off = lambda c: F.abs(present(df, c) - F.lit(medians[c]).cast("double"))
+    mads = {c: q[0] for c, q in order_statistics(df, {c: off(c) for c in columns}, (0.5,)).items()}
+    return df.select(*df.columns, _any([0.6745 * off(c) / (mads[c] or 1.0) > threshold for c in columns]).alias("is_outlier"))
 
 
 def pair_distances(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -93,8 +92,8 @@ def mahalanobis(df: DataFrame, key: str, columns: Sequence[str], refinements: in
         terms = [float(inverse[i, j]) * x[i] * x[j] for i in range(len(columns)) for j in range(len(columns))]
         d2 = df.select(key, *columns, reduce(lambda a, b: a + b, terms).alias("distance2"))
         if turn < refinements:
-            median = d2.agg(F.percentile("distance2", 0.5).alias("_m"))
-            part = d2.crossJoin(F.broadcast(median)).filter(F.col("distance2") <= F.col("_m"))
+            median = order_statistics(d2, {"d": F.col("distance2")}, (0.5,))["d"][0]
+            part = d2.filter(F.col("distance2") <= F.lit(median))
     return d2.select(key, "distance2")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import is_missing, numeric_columns, present, total
+from .ordering import percentile_row
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str], method: str, threshold
     A z threshold of 2 or less means 3.
     """
     if method == "iqr":
-        row = df.agg(*[F.percentile(present(df, c), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns])
+        row = percentile_row(df, {c: present(df, c) for c in columns}, (0.25, 0.75))
         width = lambda c: F.col(c)[1] - F.col(c)[0]
         return row.select(*[x for c in columns for x in ((F.col(c)[0] - threshold * width(c)).alias(f"{c}_low"), (F.col(c)[1] + threshold * width(c)).alias(f"{c}_high"))])
     threshold = 3.0 if threshold <= 2 else threshold

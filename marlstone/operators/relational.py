@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import percentile_row
+
 
 def with_total(df: DataFrame, column: str, alias: str = "total") -> DataFrame:
     """df with the sum of a column on every row, from a one-row aggregate."""
@@ -186,7 +188,7 @@ def apply_filters(df: DataFrame, spec: Mapping[str, object]) -> DataFrame:
 
 def segments_by_quintile(df: DataFrame, key: str, column: str, bins: int = 5, descending: bool = False) -> DataFrame:
     """1-based quantile bin of each row by linear percentile edges, right-closed; edges are one broadcast row."""
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("edges"))
+    edges = percentile_row(df, {"edges": F.col(column)}, [k / bins for k in range(1, bins)])
     n = F.size(F.filter("edges", lambda e: e < F.col(column)))
     bin_ = (F.lit(bins) - n) if descending else (n + 1)
     return df.crossJoin(F.broadcast(edges)).select(key, bin_.cast("int").alias(f"{column}_bin"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import total
+from .ordering import row_numbers
 
 
 def _long(row: DataFrame, columns: Sequence[str], value) -> DataFrame:
@@ -84,16 +85,6 @@ def percentile_best(scores: DataFrame, n_features: int, percent: float) -> DataF
     return k_best(scores, max(1, int(n_features * percent / 100)))
 
 
-def row_numbers(df: DataFrame, order: Sequence[str], alias: str = "_row") -> DataFrame:
-    """Rows numbered from 0 in order without moving all rows to one task: counts of range partitions are offsets."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    within = F.col("_at") - F.shiftleft(part, 33)
-    counts = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    return ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(alias, F.col("_offset") + within).drop("_at", "_part", "_offset")
-
-
 def fold_of(row: Column, n: Column, k: int) -> Column:
     """Contiguous folds; the first n % k hold one row more."""
     small, extra = F.floor(n / k), n % k

@@ -128,19 +128,19 @@ def kbest(spark, sf_dir):
     return S.k_best(S.variances(lines(spark, sf_dir), COLUMNS), 2).select("feature")
 
 
-@query("SELECT c_custkey, (ntile(5) OVER (ORDER BY c_custkey) - 1)::INT AS fold FROM customer")
+@query("SELECT o_orderkey, (ntile(5) OVER (ORDER BY o_orderkey) - 1)::INT AS fold FROM orders")
 def kfold(spark, sf_dir):
-    return S.k_fold(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"])
+    return S.k_fold(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
 
 
-@query("SELECT c_custkey, (ntile(5) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1)::INT AS fold FROM customer")
+@query("SELECT o_orderkey, (ntile(5) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1)::INT AS fold FROM orders")
 def stratified_kfold(spark, sf_dir):
-    return S.stratified_k_fold(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["c_custkey"]).select("c_custkey", "fold")
+    return S.stratified_k_fold(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["o_orderkey"]).select("o_orderkey", "fold")
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY md5(concat_ws(':', 0, c_custkey)), c_custkey) <= floor((SELECT count(*) FROM customer) * 0.25) AS is_test FROM customer")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat_ws(':', 0, o_orderkey)), o_orderkey) <= floor((SELECT count(*) FROM orders) * 0.25) AS is_test FROM orders")
 def train_test_split(spark, sf_dir):
-    return S.train_test_split(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return S.train_test_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
 @query()
