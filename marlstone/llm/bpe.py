@@ -3,7 +3,7 @@
 Texts are cut into pieces by the pretokenisation pattern, in numpy over the code
 points of a block of texts. Distinct pieces are mapped byte by byte to printable
 characters and encoded by the tokenizers library; a worker remembers the ids of
-pieces it has met, up to a bound. Offsets say which characters each token covers.
+pieces it has met, by the piece itself, up to a bound. Offsets say which characters each token covers.
 Decoding reverses the byte table on whole documents, so characters that were
 split over several tokens come back whole; a sequence that is cut within a
 character decodes with replacement characters only there.
@@ -13,7 +13,8 @@ The pattern's rules are those of
 applied from left to right; other patterns are refused.
 
 Defined cases: a null text counts as empty; an empty text has no tokens; extra
-columns are ignored; rows that repeat an identifier are encoded each.
+columns are ignored; rows that repeat an identifier, or whose identifier is null,
+are encoded each. A very long text is encoded in spans that end with a piece.
 """
 
 from __future__ import annotations
@@ -136,6 +137,37 @@ def _piece_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return h * odd + (ends - starts).astype(np.uint64)
 
 
+def distinct_pieces(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in starts that stand for all different pieces, for each piece the index of its own there).
+
+    Pieces are grouped by hash and compared character by character with the first
+    of their group; a piece that merely shares its hash stands for itself.
+    """
+    ends = np.append(starts[1:], len(points))
+    _, at, inverse = np.unique(_piece_hashes(points, starts, ends), return_index=True, return_inverse=True)
+    shift = starts[at][inverse] - starts
+    other = np.arange(len(points)) + np.repeat(shift, ends - starts)
+    unequal = np.logical_or.reduceat(points != points[np.minimum(other, len(points) - 1)], starts)
+    unequal |= (ends - starts)[at][inverse] != ends - starts
+    alone = np.flatnonzero(unequal)
+    inverse[alone] = len(at) + np.arange(len(alone))
+    return np.concatenate([at, alone]), inverse
+
+
+def spans(text: str) -> Iterator[str]:
+    """Parts of about BLOCK characters of a long text, cut where a piece starts whatever follows the part."""
+    at, size = 0, BLOCK
+    while len(text) - at > size:
+        part = text[at : at + size]
+        starts = piece_starts(np.frombuffer(part.encode("utf-32-le"), np.uint32), np.array([len(part)]))
+        if len(starts) < 4:  # a piece that fills the part
+            size *= 2
+            continue
+        yield part[: starts[-3]]
+        at, size = at + int(starts[-3]), BLOCK
+    yield text[at:]
+
+
 class Encoder:
     """Encodes blocks of texts; one for each worker and vocabulary."""
 
@@ -145,12 +177,12 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.pool: list[np.ndarray] = []
         self.n_pool = 0
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces in one call; each is a word of a pretokenised sequence."""
         alphabet = self.alphabet
         words = ["".join([alphabet[b] for b in p.encode()]) for p in pieces]
@@ -159,7 +191,7 @@ class Encoder:
         counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
         at = self.n_pool + np.concatenate([[0], np.cumsum(counts)[:-1]])
         base = len(self.first)
-        self.known.update(zip(hashes, range(base, base + len(words))))
+        self.known.update(zip(pieces, range(base, base + len(words))))
         self.first = np.concatenate([self.first, at])
         self.count = np.concatenate([self.count, counts])
         self.pool.append(ids)
@@ -174,18 +206,16 @@ class Encoder:
             return
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         starts = piece_starts(points, lengths)
+        at, inverse = distinct_pieces(points, starts)
         ends = np.append(starts[1:], len(points))
-        hashes, at, inverse = np.unique(_piece_hashes(points, starts, ends), return_index=True, return_inverse=True)
+        pieces = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         if len(self.first) > REMEMBERED:
             self._forget()
-        listed, known = hashes.tolist(), self.known
-        new = [k for k, h in enumerate(listed) if h not in known]
-        if new:
-            s, e = starts[at[new]].tolist(), ends[at[new]].tolist()
-            self._learn([listed[k] for k in new], [joined[a:b] for a, b in zip(s, e)])
+        if new := [p for p in dict.fromkeys(pieces) if p not in self.known]:
+            self._learn(new)
         if len(self.pool) > 1:
             self.pool = [np.concatenate(self.pool)]
-        which = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[inverse]
+        which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[inverse]
         first, count = self.first[which], self.count[which]
         ids = self.pool[0][ragged(first, count)]
         token_ends = np.concatenate([[0], np.cumsum(count)])
@@ -194,9 +224,14 @@ class Encoder:
             yield ids[a:b]
 
     def encode(self, texts: Iterator[str]) -> Iterator[np.ndarray]:
-        """Blocks of about BLOCK characters bound the memory; a longer text is a block of its own."""
+        """The ids of each text. Blocks of about BLOCK characters bound the memory; a longer text is encoded in spans that end with a piece."""
         block, size = [], 0
         for text in texts:
+            if len(text) > 2 * BLOCK:
+                yield from self.block(block)
+                block, size = [], 0
+                yield np.concatenate([ids for span in spans(text) for ids in self.block([span])])
+                continue
             block.append(text)
             size += len(text)
             if size >= BLOCK:
@@ -204,8 +239,14 @@ class Encoder:
                 block, size = [], 0
         yield from self.block(block)
 
+    def decoded(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The bytes of the tokens, in parts."""
+        for a in range(0, len(ids), BLOCK):
+            part = ids[a : a + BLOCK]
+            yield self.bytes[ragged(self.starts[part], self.starts[part + np.uint32(1)] - self.starts[part])].tobytes()
+
     def decode(self, ids: np.ndarray) -> bytes:
-        return self.bytes[ragged(self.starts[ids], self.starts[ids + np.uint32(1)] - self.starts[ids])].tobytes()
+        return b"".join(self.decoded(ids))
 
     def char_offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character and end of each token; a character split over tokens belongs to each of them."""
@@ -293,8 +334,10 @@ def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 rows, kept = [], []
                 for text, ids in zip(texts, codec.encode(iter(texts))):
-                    back = codec.decode(ids)
-                    rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
+                    back = hashlib.sha256()
+                    for part in codec.decoded(ids):
+                        back.update(part)
+                    rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), back.hexdigest(), back.digest() == hashlib.sha256(text.encode()).digest()))
                     kept.append(ids)
                 columns = [b.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.bool_()))]
                 if with_ids:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -33,8 +33,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = left.select("u", rank("v").alias("other"), rank("u").alias("own")).unionAll(left.select(F.col("v").alias("u"), rank("u").alias("other"), rank("v").alias("own")))
         first = materialize(both.groupBy("u").agg(F.least(F.min("other"), F.min("own"))["id"].alias("to")), "first")
         moved = left.join(first, "u").select(F.col("to").alias("a"), "v").join(first.withColumnRenamed("u", "v"), "v").select(F.col("a"), F.col("to").alias("b"))
+        before = left, names, first
         left = materialize(moved.filter("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
         names = materialize(names.join(first.withColumnRenamed("u", "name"), "name", "left").select("node", F.coalesce("to", "name").alias("name")), "names")
+        discard(*before)
     else:
         raise RuntimeError("the components did not settle")
     smallest = names.groupBy("name").agg(F.min("node").alias("component"))

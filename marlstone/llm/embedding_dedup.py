@@ -17,8 +17,10 @@ probability RECALL.
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors without a label, are returned without links; vectors of
 different lengths never link; rows that repeat an identifier are separate
-vectors with one identifier, and link to each other as others do; an empty table
-gives an empty result; extra columns are ignored.
+vectors with one identifier, and link to each other as others do; rows without an
+identifier link as others do but never name a component, unless all of its rows
+lack one (then it is null, and all are kept); an empty table gives an empty
+result; extra columns are ignored. Components of any finite size are compared.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ ROWS_OF_BUCKET, ROWS_OF_BLOCK = 256, 256
 
 def plan_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """(hyperplanes per table, tables) for n vectors."""
-    bits = min(30, max(4, math.ceil(math.log2(max(n, 1) / ROWS_OF_BUCKET))))
+    bits = max(4, math.ceil(math.log2(max(n, 1) / ROWS_OF_BUCKET)))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
@@ -52,8 +54,14 @@ def hyperplanes(dim: int, bits: int, tables: int, seed: int = 11) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables))
 
 
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision; scaled by their largest component first, so that no square overflows or vanishes."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
+
+
 def signatures(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """Signs of each vector in each table, packed into an integer."""
+    """Signs of each vector (of length 1) in each table, packed into an integer."""
     signs = (vectors @ hyperplanes(vectors.shape[1], bits, tables) >= 0).reshape(len(vectors), tables, bits)
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
@@ -76,7 +84,7 @@ def _bucketed(reps: DataFrame, bits: int, tables: int) -> DataFrame:
             starts = np.concatenate([[0], np.cumsum(dims)[:-1]])
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
-                sigs = signatures(flat[starts[rows][:, None] + np.arange(dim)], bits, tables)
+                sigs = signatures(unit_rows(flat[starts[rows][:, None] + np.arange(dim)]), bits, tables)
                 for first in range(0, len(rows), 1000):
                     some = rows[first : first + 1000]
                     out, n = b.take(pa.array(np.repeat(some, tables))), len(some)
@@ -98,11 +106,11 @@ def _groups(bucketed: DataFrame) -> DataFrame:
 
 def link_block(vectors: np.ndarray, chunk: np.ndarray, band: int, bits: int, tables: int, threshold: float) -> np.ndarray:
     """Boolean matrix of the links that this group counts: at or above the threshold, first met in this table, within the group's pair of chunks."""
-    unit = vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+    unit = unit_rows(vectors)
     linked = unit @ unit.T >= threshold
     np.fill_diagonal(linked, False)
     if linked.any() and band:
-        sigs = signatures(vectors, bits, tables)[:, :band]
+        sigs = signatures(unit, bits, tables)[:, :band]
         a, b = np.nonzero(np.triu(linked))
         met = (sigs[a] == sigs[b]).any(axis=1)
         linked[a[met], b[met]] = linked[b[met], a[met]] = False
@@ -154,13 +162,12 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, recall: float =
     reps = materialize(equal.withColumn("rep", F.monotonically_increasing_id()), "representatives")
     bits, tables = plan_tables(reps.count(), threshold, recall)
     links = materialize(_links(_groups(_bucketed(reps, bits, tables)), bits, tables, threshold), "links")
-    ids = reps.select("rep", "least_id")
-    edges = links.select("rep", "other").filter("rep != other").distinct()
-    edges = edges.join(ids.withColumnRenamed("least_id", "u"), "rep").join(ids.select(F.col("rep").alias("other"), F.col("least_id").alias("v")), "other").select("u", "v")
-    found = connected_components(edges)
+    found = connected_components(links.select(F.col("rep").alias("u"), F.col("other").alias("v")))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_rep = reps.select("rep", "label", "print", "least_id", "copies").join(counts, "rep", "left").join(found, F.col("least_id") == F.col("node"), "left")
-    by_rep = by_rep.select("label", "print", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "least_id").alias("component_id"))
+    by_rep = reps.select("rep", "label", "print", "least_id", "copies").join(counts, "rep", "left").join(found, F.col("rep") == F.col("node"), "left")
+    by_rep = by_rep.select("label", "print", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    least = by_rep.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    by_rep = by_rep.join(least, "component").select("label", "print", "n_links", "component_id")
     out = rows.select("vec_id", "label", "print").join(by_rep, ["label", "print"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    component = F.when(F.col("print").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

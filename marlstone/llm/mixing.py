@@ -8,13 +8,18 @@ queued again, up to three times, so no document is taken more than three times.
 
 Running sums do not need one task per source or one global sort: a queue is cut
 into SLICES hash ranges and virtual time into bins of equal width; sums per
-slice or bin are small tables, and rows only meet within a slice or bin.
+slice or bin are small tables, and rows only meet within a slice or bin. Sources
+are ranked and filled by running sums over range partitions, so they may be many.
+Queues are only drawn up to the virtual time by which the budget is sure to be
+used up, a little above 1.
 
 Defined cases: a null text has size 0; sources sort by code point, null last, and
 are one source each (null included); sources without words have target 0;
 documents without words are never taken but keep their row with taken = 0;
-repeated identifiers are separate rows, told apart by a row number of the
-materialised table; empty tables give empty results.
+rows that repeat an identifier, or have none, are separate rows, ordered by a hash
+of their texts; rows that also repeat the text are alike, and which of them is
+taken more often is left open; extra columns are ignored by fair_mix() and kept
+by mixed(), under any names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from ..operators.ordering import row_numbers, running_sums
+from .storage import free_names, materialize, text_mark
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of sources in order, repeating.
@@ -40,22 +46,19 @@ def targets(sizes: DataFrame, weights: list[float] = WEIGHTS, most: float = MAX_
     """source, source_size, target from (source, source_size).
 
     Water filling: sources stop at most * size; the level at which the others
-    stand is found from sums over sources ordered by size / weight, the order in
-    which they reach their stop. One row per source goes through the window.
+    stand is found from running sums over sources ordered by size / weight, the
+    order in which they reach their stop.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    place = (F.row_number().over(by_name) - 1) % len(weights)
-    weighted = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (place + 1).cast("int")))
+    placed = row_numbers(sizes, [F.col("source").isNull(), "source"], "place")
+    weighted = placed.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")))
     stops = weighted.withColumn("level", F.lit(most) * F.col("source_size") / F.col("w"))
-    order = Window.orderBy("level", F.col("source").isNull(), "source")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("source_size").over(everything)
+    stops = running_sums(stops, ["level", "place"], {"full": F.lit(most) * F.col("source_size"), "before": F.col("w")})
+    totals = stops.agg(F.sum("source_size").alias("total"), F.sum("w").alias("all"))
     # the level if the sources before this one are full and no other is
-    free = stops.withColumn("fill", (total - F.coalesce(F.sum(most * F.col("source_size")).over(before), F.lit(0.0))) / F.sum("w").over(onward))
-    level = F.first(F.when(F.col("fill") <= F.col("level"), F.col("fill")), ignorenulls=True).over(everything)
-    return free.withColumn("at", level).select("source", "source_size", F.least(F.col("w") * F.coalesce("at", "level"), most * F.col("source_size")).cast("double").alias("target"))
+    filled = stops.crossJoin(F.broadcast(totals)).withColumn("fill", (F.col("total") - F.col("full")) / (F.col("all") - F.col("before")))
+    level = filled.filter("fill <= level").agg(F.min_by("fill", F.struct("level", "place")).alias("at"))
+    found = stops.crossJoin(F.broadcast(level))
+    return found.select("source", "source_size", F.least(F.col("w") * F.coalesce("at", "level"), most * F.col("source_size")).cast("double").alias("target"))
 
 
 def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
@@ -64,26 +67,54 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     first_finish is the virtual time at which the first copy leaves its queue:
     the order of the mix; mark is a hash of the text.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("mark"), word_count(F.col(text_col)).alias("size")).withColumn("row", F.monotonically_increasing_id())
+    return _mix(docs.withColumn(free_names(docs, "row")[0], F.monotonically_increasing_id()), free_names(docs, "row")[0], id_col, text_col, source_col, seed).drop("row")
+
+
+def _mix(docs: DataFrame, row_col: str, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """fair_mix() with row, the value of row_col."""
+    rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_mark(F.col(text_col)).alias("mark"), word_count(F.col(text_col)).alias("size"))
     rows = materialize(rows, "sizes")
     goals = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    return _taken(_finish_times(rows, goals, seed), rows, goals)
+    queued = materialize(_queued(rows, goals, seed), "queued")
+    return _taken(_drawn(queued, rows, goals), rows, goals)
 
 
-def _finish_times(rows: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
-    """A row for each copy that can leave its queue: row, size, finish (virtual time), copy."""
+def _queued(rows: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
+    """A row for each document with words: its end in its queue (words), and how often the queue may be drawn."""
     shuffled = rows.filter("size > 0").withColumn("turn", F.xxhash64("doc_id", F.lit(seed))).withColumn("slice", F.pmod(F.call_function("shiftright", F.col("turn"), F.lit(44)), F.lit(SLICES)).cast("int"))
     sums = shuffled.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     before = F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select(F.col("source").alias("q"), F.col("slice").alias("at"), F.coalesce(before, F.lit(0)).alias("offset"))
-    within = F.sum("size").over(Window.partitionBy("source", "slice").orderBy("turn", "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = F.sum("size").over(Window.partitionBy("source", "slice").orderBy("turn", "doc_id", "mark", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     queued = shuffled.withColumn("within", within)
     queued = queued.join(offsets, queued["source"].eqNullSafe(offsets["q"]) & (queued["slice"] == offsets["at"])).drop("q", "at")
     goal = goals.select(F.col("source").alias("q"), "source_size", "target")
     queued = queued.join(F.broadcast(goal) if _few(goals) else goal, queued["source"].eqNullSafe(goal["q"])).drop("q")
-    rounds = queued.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_COPIES), F.ceil(F.col("target") / F.col("source_size")) + 1).cast("int"))))
-    words = (F.col("copy") - 1) * F.col("source_size") + F.col("offset") + F.col("within")
-    return rounds.select("row", "source", "turn", "size", "copy", (words / F.col("target")).alias("finish"))
+    draws = F.least(F.lit(MAX_COPIES), F.ceil(F.col("target") / F.col("source_size")) + 1).cast("int")
+    return queued.select("row", "source", "turn", "doc_id", "mark", "size", "source_size", "target", (F.col("offset") + F.col("within")).alias("end"), draws.alias("draws"))
+
+
+def _drawn(queued: DataFrame, rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """A row for each copy that may be taken: row, size, finish (virtual time), copy.
+
+    By time 1 every source has given its target but for one document; the largest
+    documents of the sources that do not stop at their copies bound the time by
+    which the rest of the budget is given. The bound is checked and doubled where
+    queues end before it.
+    """
+    largest = rows.groupBy("source").agg(F.max("size").alias("largest")).withColumnRenamed("source", "s")
+    open_ = goals.join(largest, goals["source"].eqNullSafe(largest["s"])).filter(F.col("target") < MAX_COPIES * F.col("source_size"))
+    late = open_.agg((F.sum("largest") / F.sum("target")).alias("late")).first()["late"] or 0.0
+    budget = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget")).first()["budget"]
+    copies = queued.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("draws"))))
+    finish = ((F.col("copy") - 1) * F.col("source_size") + F.col("end")) / F.col("target")
+    copies = copies.select("row", "source", "turn", "doc_id", "mark", "size", "copy", finish.alias("finish"))
+    until = 1 + late + 1e-9
+    while True:
+        drawn = materialize(copies.filter(F.col("finish") <= until).withColumn("bin", F.floor(F.col("finish") * SLICES)), "finish")
+        if (drawn.agg(F.sum("size")).first()[0] or 0) >= budget or copies.filter(F.col("finish") > until).isEmpty():
+            return drawn
+        until *= 2
 
 
 def _few(goals: DataFrame, most: int = 10_000) -> bool:
@@ -92,15 +123,13 @@ def _few(goals: DataFrame, most: int = 10_000) -> bool:
 
 def _taken(copies: DataFrame, rows: DataFrame, goals: DataFrame) -> DataFrame:
     """Sort by finish time and truncate at the budget, the sum of all sizes."""
-    copies = materialize(copies.withColumn("bin", F.floor(F.col("finish") * SLICES)), "finish")
     budget = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))
     bins = copies.groupBy("bin").agg(F.sum("size").alias("bin_size"))
-    before = F.sum("bin_size").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = bins.select("bin", "bin_size", F.coalesce(before, F.lit(0)).alias("offset")).crossJoin(F.broadcast(budget))
+    bins = running_sums(bins, ["bin"], {"offset": F.col("bin_size")}).crossJoin(F.broadcast(budget))
     bins = materialize(bins, "bins")  # at most SLICES rows for each unit of virtual time
     whole = copies.join(bins.filter("offset + bin_size <= budget").select("bin"), "bin")
     edge = copies.join(bins.filter("offset < budget and offset + bin_size > budget").select("bin", "offset", "budget"), "bin")
-    order = Window.partitionBy("bin", "cell").orderBy("finish", "source", "turn", "row", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("bin", "cell").orderBy("finish", "source", "turn", "doc_id", "mark", "row", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # the one bin that holds the budget's end is cut once more into cells of virtual time
     edge = edge.withColumn("cell", F.floor((F.col("finish") * SLICES - F.col("bin")) * SLICES))
     cells = edge.groupBy("bin", "cell").agg(F.sum("size").alias("cell_size"))
@@ -112,16 +141,17 @@ def _taken(copies: DataFrame, rows: DataFrame, goals: DataFrame) -> DataFrame:
     goal = goals.select(F.col("source").alias("q"), "source_size", "target")
     out = out.join(F.broadcast(goal) if _few(goals) else goal, out["source"].eqNullSafe(goal["q"]))
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", "source", "mark", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("copies", zero).alias("copies"), F.coalesce("taken", zero).cast("long").alias("taken"), "first_finish")
+    return out.select("row", "doc_id", "source", "mark", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("copies", zero).alias("copies"), F.coalesce("taken", zero).cast("long").alias("taken"), "first_finish")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
-    """The rows of the mix, each as often as it is taken, with all columns of docs."""
-    took = materialize(fair_mix(docs, id_col, text_col, source_col, seed).filter("copies > 0").groupBy("doc_id", "source", "mark").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "mix")
-    names = {"doc_id": "_id", "source": "_source", "mark": "_mark"}
-    took = took.withColumnsRenamed(names)
-    marked = docs.withColumn("_text", F.xxhash64(text_col))
-    if not took.filter("_rows > 1").isEmpty():
-        marked = marked.dropDuplicates([id_col, source_col, "_text"])  # equal rows share their copies
-    rows = marked.join(took, marked[id_col].eqNullSafe(took["_id"]) & marked[source_col].eqNullSafe(took["_source"]) & (marked["_text"] == took["_mark"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[marked[c] for c in docs.columns])
+    """The rows of the mix, each as often as it is taken, with all columns of docs.
+
+    Rows are numbered in a written table, so that rows which agree in identifier,
+    source and text keep their own columns.
+    """
+    row, its_row, copies, copy = free_names(docs, "row", "its_row", "copies", "copy")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    took = _mix(numbered, row, id_col, text_col, source_col, seed).filter("copies > 0").select(F.col("row").alias(its_row), F.col("copies").cast("int").alias(copies))
+    rows = numbered.join(took, numbered[row] == took[its_row])
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)

@@ -54,9 +54,9 @@ WHERE length(value) >= {least} {mixed}"""
 
 OP8 = f"""
 WITH found AS ({" UNION ALL ".join(_spans(i, *x) for i, x in enumerate(_FORMS))}),
-stats AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS n_owners FROM found GROUP BY value),
+stats AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS n_owners, count(DISTINCT coalesce(doc_id::VARCHAR, chr(0))) AS n_repos FROM found GROUP BY value),
 judged AS (
-  SELECT f.*, CASE WHEN n_owners > 2 THEN 'copied'
+  SELECT f.*, CASE WHEN n_owners > 2 OR n_repos > 20 THEN 'copied'
                    WHEN len(list_distinct(string_split(value, ''))) < 8 THEN 'placeholder' ELSE 'live' END AS verdict
   FROM found f JOIN stats USING (value)),
 kept AS (SELECT *, kind || ':' || start_at || ':' || end_at AS span FROM judged WHERE kind != 'opaque' OR verdict = 'live'),

@@ -1,25 +1,29 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Candidates are found by regular expressions, hashed, and counted over the whole
-corpus by distinct repositories and distinct owners. A value that several owners
-carry is a copied example; one that stays with a single owner and has enough
+corpus by distinct repositories and distinct owners. A value that more than
+OWNERS_OF_EXAMPLE owners or more than REPOS_OF_EXAMPLE repositories carry is a
+widely copied example; one that stays within fewer of both and has enough
 distinct characters looks live. Base spans are always reported; the method adds
-spans of kind `opaque` (long mixed-case strings with digits) where the frequency
-shows that they belong to one owner.
+spans of kind `opaque` (long mixed-case strings with digits) where the
+frequency shows that they are live.
 
 Regular expressions give no positions, so spans come from the gaps: splitting a
 text at the matches gives the pieces between them, and running lengths of pieces
-and matches give each match's start, in code points.
+and matches give each match's start, in code points. Tables hold hashes of the
+values, never the values.
 
 Defined cases: a null text counts as empty and has no spans; the digest of no
 spans is that of the empty string; null owners and repositories count as one
-value of their own; rows that repeat an identifier are separate rows, told apart
-by a row number of the materialised table; extra columns are ignored.
+value of their own, so rows without an identifier are one repository; rows that
+repeat an identifier are separate rows, told apart by a row number of the
+materialised table; a value that repeats in one document counts once for its
+repository; extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize
@@ -32,41 +36,47 @@ KINDS = [
     ("opaque", r"[A-Za-z0-9+/_-]{32,}", 0, 32),
 ]
 BASE = ["assign", "access", "hex"]
-#: More distinct owners than this make a value a copied example.
-OWNERS_OF_EXAMPLE = 2
+#: More distinct owners or repositories than this make a value a copied example.
+OWNERS_OF_EXAMPLE, REPOS_OF_EXAMPLE = 2, 20
 #: Fewer distinct characters than this make a value a placeholder.
 LEAST_DISTINCT = 8
 
 
+FOUND = "array<struct<rank:int,at:int,gap:int,length:int,kept:boolean,value_hash:string,n_chars:int>>"
+
+
 def matches(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
-    """Array of (start, rank, end, value) of the matches whose value is long enough."""
+    """Array of all matches in order: rank, place among the kind's, gap before it, length, whether it is long enough, hash and distinct characters of its value."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    zipped = F.zip_with(whole, F.slice(gaps, 1, F.size(whole)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
+    zipped = F.zip_with(whole, F.slice(gaps, 1, F.size(whole)), lambda m, g: F.struct(m.alias("m"), g.alias("g"), (F.regexp_extract(m, pattern, group) if group else m).alias("value")))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["g"]
-        end = start + F.char_length(x["m"])
-        value = F.regexp_extract(x["m"], pattern, group) if group else x["m"]
-        found = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), value.alias("value")))
-        kept = F.when(F.char_length(value) >= least, found).otherwise(none)
-        return F.struct(end.alias("at"), F.concat(state["spans"], kept).alias("spans"))
+    def one(x: Column, at: Column) -> Column:
+        value = x["value"]
+        kept = F.char_length(value) >= least
+        if rank == len(KINDS) - 1:
+            kept &= value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
+        return F.struct(F.lit(rank).alias("rank"), at.alias("at"), x["g"].alias("gap"), F.char_length(x["m"]).alias("length"), kept.alias("kept"), F.sha2(value, 256).alias("value_hash"), F.size(F.array_distinct(F.split(value, ""))).alias("n_chars"))
 
-    folded = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    return F.when(text.rlike(pattern), F.transform(zipped, one)).otherwise(F.array().cast(FOUND))
 
 
 def find_candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
-    """One row per row of docs, without its text: row, doc_id, repo, owner, found (spans by start, then kind)."""
+    """One row per row of docs, without its text: row, doc_id, repo, owner, found (all matches by kind)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     parts = [matches(text, rank, pattern, group, least) for rank, (_, pattern, group, least) in enumerate(KINDS)]
-    mixed = lambda s: (s["rank"] != KINDS.index(KINDS[-1])) | (s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]"))
-    found = F.filter(F.sort_array(F.concat(*parts)), mixed)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), found.alias("found"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.concat(*parts).alias("found"))
     return materialize(rows.withColumn("row", F.monotonically_increasing_id()), "candidates")
 
 
+def spans_of(rows: DataFrame) -> DataFrame:
+    """row, repo, owner, start, rank, end, value_hash, n_chars of the matches that are long enough; starts are running sums of gaps and lengths."""
+    each = rows.select("row", "repo", "owner", F.explode("found").alias("m")).select("row", "repo", "owner", "m.*")
+    upto = F.sum(F.col("gap") + F.col("length")).over(Window.partitionBy("row", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = each.withColumn("end", upto.cast("int")).filter("kept")
+    return placed.select("row", "repo", "owner", (F.col("end") - F.col("length")).alias("start"), "rank", "end", "value_hash", "n_chars")
+
+
 def ownership(candidates: DataFrame) -> DataFrame:
     """value_hash, n_repos, n_owners over the whole corpus; candidates has value_hash, repo, owner.
 
@@ -79,15 +89,14 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def verdict() -> Column:
-    """copied, placeholder or live, from n_owners and the value's distinct characters."""
-    return F.when(F.col("n_owners") > OWNERS_OF_EXAMPLE, "copied").when(F.col("n_chars") < LEAST_DISTINCT, "placeholder").otherwise("live")
+    """copied, placeholder or live, from n_owners, n_repos and the value's distinct characters."""
+    return F.when((F.col("n_owners") > OWNERS_OF_EXAMPLE) | (F.col("n_repos") > REPOS_OF_EXAMPLE), "copied").when(F.col("n_chars") < LEAST_DISTINCT, "placeholder").otherwise("live")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """One row per row of docs: doc_id, secrets (start, end, kind, value_hash, n_repos, n_owners, verdict by start, then kind)."""
     rows = find_candidates(docs, id_col, text_col, repo_col, owner_col)
-    value = F.col("span.value")
-    spans = rows.select("row", "repo", "owner", F.explode("found").alias("span")).select("row", "repo", "owner", "span.start", "span.rank", "span.end", F.sha2(value, 256).alias("value_hash"), F.size(F.array_distinct(F.split(value, ""))).alias("n_chars"))
+    spans = materialize(spans_of(rows), "spans")
     stats = ownership(spans)
     judged = spans.join(stats, "value_hash").withColumn("verdict", verdict())
     kept = judged.filter((F.col("rank") < len(BASE)) | (F.col("verdict") == "live"))

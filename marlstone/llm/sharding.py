@@ -8,7 +8,8 @@ nothing but sums is shuffled and no level needs more than the oversized buckets.
 
 Defined cases: a null text has 0 bytes; a null identifier hashes like the empty
 string; rows that repeat an identifier share a bucket. A bucket that cannot fall
-below the limit (one long document, or one identifier on many rows) splits
+below the limit (one long document, one identifier on many rows, or many rows
+without one) splits
 until its rows are told apart as far as the bits go; it is then returned with
 oversized = true at depth MAX_BITS. An empty table gives an empty result. Extra
 columns are ignored by assign_shards and kept by write_shards.
@@ -56,8 +57,8 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
         over = materialize(over, "oversized")
         if over.isEmpty():
             return _union(done, limit)
-        leaves = rows.groupBy(prefix(F.col("h"), deep).alias("leaf")).agg(F.sum("n_bytes").alias("leaf_bytes"), F.count(F.lit(1)).alias("leaf_docs"))
-        leaves = leaves.join(over.select(F.col("prefix").alias("over_prefix")), prefix_of_leaf("leaf", deep, top) == F.col("over_prefix"), "left_semi")
+        inside = rows.join(over.select(F.col("prefix").alias("over_prefix")), prefix(F.col("h"), top) == F.col("over_prefix"), "left_semi")
+        leaves = inside.groupBy(prefix(F.col("h"), deep).alias("leaf")).agg(F.sum("n_bytes").alias("leaf_bytes"), F.count(F.lit(1)).alias("leaf_docs"))
         path = leaves.select("leaf_bytes", "leaf_docs", "leaf", F.explode(F.sequence(F.lit(top + 1), F.lit(deep))).alias("depth"))
         sums = path.groupBy("depth", F.call_function("shiftright", F.col("leaf"), (F.lit(deep) - F.col("depth")).cast("int")).alias("prefix")).agg(F.sum("leaf_bytes").alias("shard_bytes"), F.sum("leaf_docs").alias("shard_docs"))
         sums = materialize(sums, "sums")
@@ -71,10 +72,6 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     return _union(done, limit)
 
 
-def prefix_of_leaf(leaf: str, leaf_depth: int, depth: int) -> Column:
-    return F.call_function("shiftright", F.col(leaf), F.lit(leaf_depth - depth))
-
-
 def _union(parts: list[DataFrame], limit: int) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

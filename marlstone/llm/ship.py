@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent.parent
     archive = Path(tempfile.mkdtemp(prefix="spark-marlstone-")) / "marlstone_workers.zip"
     with zipfile.ZipFile(archive, "w") as out:
-        for source in [root / "__init__.py", *sorted((root / "llm").glob("*.py"))]:
+        for source in sorted(root.rglob("*.py")):
             out.write(source, f"marlstone/{source.relative_to(root)}")
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)

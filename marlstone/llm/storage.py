@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.shared import discard, materialize, new_path, shared_folder
 
-_local_folder: list[str] = []
+__all__ = ["discard", "free_names", "keep_keyed", "materialize", "new_path", "same_key", "shared_folder", "text_mark"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a local one of this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
-        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return store.makeQualified(path).toString().rstrip("/")
-    if not _local_folder:
-        _local_folder.append("file://" + tempfile.mkdtemp(prefix="spark-marlstone-"))
-    return _local_folder[0]
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+def text_mark(text: Column) -> Column:
+    """A 64-bit hash that, with the identifier, leads back to a row's text; a null text has one too."""
+    return F.xxhash64(text)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def same_key(df: DataFrame, id_col: str, mark_col: str, other: DataFrame, other_id: str, other_mark: str) -> Column:
+    return df[id_col].eqNullSafe(other[other_id]) & (df[mark_col] == other[other_mark])
+
+
+def keep_keyed(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows that stand in classes under another key (doc_id, mark) than their class's (keep_id, keep_mark).
+
+    Of rows that repeat both identifier and text of a class's keeper one stays.
+    """
+    mark, its_id, its_mark = free_names(docs, "mark", "its_id", "its_mark")
+    keeper = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))
+    key = lambda df: df.select(F.col("doc_id").alias(its_id), F.col("mark").alias(its_mark))
+    gone = key(classes.filter(~keeper).select("doc_id", "mark").distinct())
+    twice = materialize(key(classes.filter(keeper).groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), "repeated")
+    marked = docs.withColumn(mark, text_mark(F.col(text_col)))
+    rest = marked.join(gone, same_key(marked, id_col, mark, gone, its_id, its_mark), "left_anti")
+    if twice.isEmpty():
+        return rest.select(docs.columns)
+    once = rest.join(twice, same_key(rest, id_col, mark, twice, its_id, its_mark), "left_semi").dropDuplicates([id_col, mark])
+    return rest.join(twice, same_key(rest, id_col, mark, twice, its_id, its_mark), "left_anti").unionByName(once).select(docs.columns)

@@ -7,9 +7,13 @@ sample of labelled rows are trained side by side and their weights averaged; the
 weights (at most 2 ** BITS numbers, one megabyte) go to all workers.
 
 Defined cases: null and empty texts have no features and get the score of the
-bias; labels that are null are not learned from; with no labels at all every
-score is 0.5; a document with several labels is learned from with each of them;
-extra columns are ignored.
+bias; labels that are null, and labels and documents without an identifier, are
+not learned from (such documents are scored, held_out is false); labels other
+than 0 count as 1; with no labels at all every score is 0.5; a document with
+labels 0 and 1 is learned from once with each; label rows that repeat count once;
+of documents that repeat a labelled identifier the one whose text has the
+smallest hash is learned from; extra columns are ignored; empty tables give empty
+results. The result does not depend on how tables are partitioned.
 """
 
 from __future__ import annotations
@@ -88,12 +92,13 @@ def train_shard(texts: list[bytes | None], labels: list[int]) -> tuple[np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> np.ndarray:
     """Weights, the bias last; learns from labelled rows that are not held out.
 
-    The sampled identifiers (at most SAMPLE_ROWS in expectation, so below a
-    megabyte) are broadcast to the scan of docs: no text but the sample's moves.
+    The sampled pairs of identifier and label are distinct (at most SAMPLE_ROWS in
+    expectation, so below a megabyte) and broadcast to the scan of docs: no text but
+    the sample's moves, and one text for each pair.
     """
     ship(docs.sparkSession)
     turn = F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 30))
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"), turn.alias("turn"), held_out(F.col(id_col)).alias("held")).filter(~F.col("held") & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    known = labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col) != 0).cast("int").alias("label"), turn.alias("turn"), held_out(F.col(id_col)).alias("held")).filter(~F.col("held") & F.col("label").isNotNull() & F.col("doc_id").isNotNull()).distinct()
     n = known.count()
     weights = np.zeros((1 << BITS) + 1)
     if not n:
@@ -101,12 +106,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = min(n, SAMPLE_ROWS)
     shards = max(1, round(rows / SHARD_ROWS))
     sample = known.filter(F.col("turn") < (rows << 30) // n).select("doc_id", "label", F.pmod(F.col("turn"), F.lit(shards)).alias("shard"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("shard", "doc_id", "label", "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("shard", "doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def train(table):
         import pyarrow as pa
 
-        table = table.slice(0, 2 * SHARD_ROWS).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
         order = np.random.default_rng(1).permutation(table.num_rows)
         texts = table.column("text").cast(pa.binary()).to_pylist()
         at, w = train_shard([texts[i] for i in order], [int(v) for v in np.array(table.column("label"))[order]])

@@ -36,7 +36,7 @@ ARCHIVE_BYTES = 8 << 20
 CHUNK = 1 << 18
 BATCH = 512
 
-CAPTURED = "page_id long, archive string, seq long, payload_bytes long, payload_digest string"
+CAPTURED = "page_id long, archive string, seq long, payload_bytes long, payload_digest string, payload_sha256 binary"
 MANIFEST = "archive string, members string, index string, n_records long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean"
 
@@ -112,7 +112,7 @@ def capture(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     """Write monolithic archives; a row for each record written."""
     import pyarrow as pa
 
-    schema = pa.schema([("page_id", pa.int64()), ("archive", pa.string()), ("seq", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+    schema = pa.schema([("page_id", pa.int64()), ("archive", pa.string()), ("seq", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload_sha256", pa.binary())])
 
     def write(batches):
         from pyspark import TaskContext
@@ -128,7 +128,7 @@ def capture(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
                     page_id, url, payload = page
                     digest = hashlib.sha1(payload).hexdigest()
                     out.write(deflater.compress(response_record(page_id, url, payload, digest)))
-                    rows.append((page_id, name, len(rows), len(payload), digest))
+                    rows.append((page_id, name, len(rows), len(payload), digest, hashlib.sha256(payload).digest()))
                     size += len(payload)
                     page = next(pages_left, None)
                 out.write(deflater.flush())
@@ -140,11 +140,11 @@ def capture(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
 
 
 def revisits(captured: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """archive, seq, refers_to of the records that repeat another's payload."""
+    """archive, seq, refers_to of the records that repeat another's payload: payloads are equal when their SHA-256 is (SHA-1, the digest in records, can be made to collide)."""
     place = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "archive", "seq")
     large = captured.filter(F.col("payload_bytes") >= least_bytes)
-    groups = large.groupBy("payload_digest", "payload_bytes").agg(F.max(place).alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = large.join(groups, ["payload_digest", "payload_bytes"])
+    groups = large.groupBy("payload_sha256", "payload_bytes").agg(F.max(place).alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = large.join(groups, ["payload_sha256", "payload_bytes"])
     return pairs.filter("archive != keeper.archive or seq != keeper.seq").select("archive", "seq", F.col("keeper.page_id").alias("refers_to"), F.lit(True).alias("is_revisit"))
 
 

@@ -1,12 +1,16 @@
-"""Words and their hashes for blocks of texts, in numpy.
+"""Words and their hashes for blocks of texts.
 
 A word is a maximal run of bytes other than \\x20 and \\x09-\\x0D, with A-Z
-lower-cased. Hashes are 64-bit polynomials, found by running sums over a block.
+lower-cased. Digests are of the words themselves and remembered by word, so that
+different words do not share one by construction. Hashes are polynomials, found
+by running sums over a block: they serve hashed features, where words may collide.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -69,6 +73,59 @@ def hash_words(texts: list[bytes], blank: np.ndarray = _BLANK) -> tuple[np.ndarr
     return mix(h), np.searchsorted(starts, begins)
 
 
+_LOWER_BYTES = _LOWER.tobytes()
+#: Words whose digests a worker remembers, and bytes above which a word is not remembered.
+REMEMBERED, LONGEST_REMEMBERED = 1 << 20, 64
+
+
+class _Digests(dict):
+    """64-bit digests of words under a key, by word."""
+
+    def __init__(self, seed: int) -> None:
+        super().__init__()
+        self.key = b"marlstone words %d" % seed
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        if len(word) <= LONGEST_REMEMBERED:
+            self[word] = value
+        return value
+
+
+_digests: dict[int, _Digests] = {}
+
+
+def split_words(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(_LOWER_BYTES).split()  # splits at the same six bytes
+
+
+def digest_words(split: list[list[bytes]], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(digest of each word of the block, first word of each text and the end)"""
+    known = _digests.setdefault(seed, _Digests(seed))
+    if len(known) > REMEMBERED:
+        known.clear()
+    bounds = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
+    return np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, int(bounds[-1])), bounds
+
+
+def overlap(a: list[bytes], b: list[bytes], width: int = 5) -> tuple[int, int]:
+    """(common, all) distinct word shingles of two texts, by the words themselves."""
+    if len(a) < width or len(b) < width:
+        sizes = [min(1, len(w)) if len(w) < width else len(set(zip(*(w[k:] for k in range(width))))) for w in (a, b)]
+        common = int(bool(a) and a == b)
+        return common, sum(sizes) - common
+    names: dict[bytes, int] = {}
+    ids = [np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words)) for words in (a, b)]
+    runs = [len(x) - width + 1 for x in ids]
+    rank = np.concatenate([x[:n] for x, n in zip(ids, runs)])
+    for k in range(1, width):  # ranks of ever longer runs: below the number of runs, so the product fits
+        rank = np.unique(rank * len(names) + np.concatenate([x[k : k + n] for x, n in zip(ids, runs)]), return_inverse=True)[1]
+    sets = [np.zeros(int(rank.max()) + 1, bool) for _ in runs]
+    sets[0][rank[: runs[0]]] = True
+    sets[1][rank[runs[0] :]] = True
+    return int((sets[0] & sets[1]).sum()), int((sets[0] | sets[1]).sum())
+
+
 def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, texts) in blocks of about BLOCK bytes; null counts as empty."""
     first, block, size = 0, [], 0

@@ -314,7 +314,7 @@ def test_texts_of_an_unlearned_language_are_rejected(spark):
     prose = lambda lang, n: " ".join(rng.choice(vocabulary[lang]) for _ in range(n))
     rows = [(i, prose(("aa", "bb")[i % 2], rng.randint(60, 600)), ("aa", "bb")[i % 2]) for i in range(1600)]
     rows += [(10_000 + i, prose("none", (150, 250, 600, 9000)[i % 4]), None) for i in range(80)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).localCheckpoint()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).cache()
     model = language_id.fit(docs)
     got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
     strange = [r for i, r in got.items() if i >= 10_000]
