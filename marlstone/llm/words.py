@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 
@@ -60,17 +59,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 def hash_words(texts: list[bytes], blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word of the block, first word of each text and the end); blank: the bytes that separate words."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    inside = np.empty(len(raw) + 1, bool)
-    inside[0] = False
-    np.logical_not(blank[raw], out=inside[1:])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    starts, ends, bounds = _words_of(texts, raw, blank)
     power, back = _power_tables(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_VALUE[raw] * power, out=sums[1:])
     h = (sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)
-    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    return mix(h), np.searchsorted(starts, begins)
+    return mix(h), bounds
 
 
 _LOWER_BYTES = _LOWER.tobytes()
@@ -99,13 +93,37 @@ def split_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_LOWER_BYTES).split()  # splits at the same six bytes
 
 
-def digest_words(split: list[list[bytes]], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(digest of each word of the block, first word of each text and the end)"""
+_KEPT = np.array([(1 << 8 * min(k, 8)) - 1 for k in range(9)], np.uint64)
+
+
+def _words_of(texts: list[bytes], raw: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each word in the texts laid end to end, ends, first word of each text and the end)"""
+    inside = np.empty(len(raw) + 1, bool)
+    inside[0] = False
+    np.logical_not(blank[raw], out=inside[1:])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    return edges[::2], edges[1::2], np.searchsorted(edges[::2], begins)
+
+
+def digest_words(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(digest of each word of the block, first word of each text and the end).
+
+    Words of up to 8 bytes are numbers, which are mixed one to one; longer ones are
+    digested one by one.
+    """
     known = _digests.setdefault(seed, _Digests(seed))
     if len(known) > REMEMBERED:
         known.clear()
-    bounds = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-    return np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, int(bounds[-1])), bounds
+    joined = (b" ".join(texts) + b" ").translate(_LOWER_BYTES)
+    starts, ends, bounds = _words_of(texts, np.frombuffer(joined, np.uint8), _BLANK)
+    eight = np.ndarray((len(joined),), "<u8", joined + bytes(8), strides=(1,))
+    sizes = ends - starts
+    h = mix((eight[starts] & _KEPT[np.minimum(sizes, 8)]) ^ np.uint64((seed + 1) * _ODD % (1 << 64)))
+    h = mix(h + sizes.astype(np.uint64) * np.uint64(_ODD))
+    long = np.flatnonzero(sizes > 8)
+    h[long] = np.fromiter((known[joined[a:b]] for a, b in zip(starts[long].tolist(), ends[long].tolist())), np.uint64, len(long))
+    return h, bounds
 
 
 def overlap(a: list[bytes], b: list[bytes], width: int = 5) -> tuple[int, int]:
