@@ -7,6 +7,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 
+#: Rows whose texts become Python objects at a time.
+ROWS_OF_SLICE = 500
+
+
+def slices(batches: Iterable) -> Iterator:
+    """Batches of at most ROWS_OF_SLICE rows, so that a worker holds few texts as objects."""
+    for b in batches:
+        for first in range(0, b.num_rows, ROWS_OF_SLICE):
+            yield b.slice(first, ROWS_OF_SLICE)
+
+
 def groups(batches: Iterable, n_keys: int) -> Iterator:
     """A record batch for each run of rows that agree in the first n_keys columns (integers).
 

@@ -28,11 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_groups import slices
 from .ship import ship
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of text handled at a time, and pieces a worker remembers (about 100 bytes each).
-BLOCK, REMEMBERED = 1 << 20, 1 << 19
+#: Characters of text handled at a time, and pieces a worker remembers (about 200 bytes each).
+BLOCK, REMEMBERED = 1 << 20, 1 << 18
 
 SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
 
@@ -287,7 +288,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
         import pyarrow as pa
 
         codec = encoder(data)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             found = list(codec.encode(iter(texts)))
             columns = [b.column(0), pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))]
@@ -308,7 +309,7 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
         import pyarrow as pa
 
         codec = encoder(data)
-        for b in batches:
+        for b in slices(batches):
             texts = [codec.decode(np.array(x or [], np.uint32)).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -328,21 +329,19 @@ def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
         import pyarrow as pa
 
         codec = encoder(data)
-        for whole in batches:
-            for first in range(0, whole.num_rows, 1000):
-                b = whole.slice(first, 1000)
-                texts = [t or "" for t in b.column(1).to_pylist()]
-                rows, kept = [], []
-                for text, ids in zip(texts, codec.encode(iter(texts))):
-                    back = hashlib.sha256()
-                    for part in codec.decoded(ids):
-                        back.update(part)
-                    rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), back.hexdigest(), back.digest() == hashlib.sha256(text.encode()).digest()))
-                    kept.append(ids)
-                columns = [b.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.bool_()))]
-                if with_ids:
-                    ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+        for b in slices(batches):
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            rows, kept = [], []
+            for text, ids in zip(texts, codec.encode(iter(texts))):
+                back = hashlib.sha256()
+                for part in codec.decoded(ids):
+                    back.update(part)
+                rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), back.hexdigest(), back.digest() == hashlib.sha256(text.encode()).digest()))
+                kept.append(ids)
+            columns = [b.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.bool_()))]
+            if with_ids:
+                ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .arrow_groups import slices
 from .folds import held_out
 from .ship import ship
 
@@ -141,7 +142,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             s = score_texts(packed.value, b.column(2).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

@@ -69,7 +69,7 @@ def hash_words(texts: list[bytes], blank: np.ndarray = _BLANK) -> tuple[np.ndarr
 
 _LOWER_BYTES = _LOWER.tobytes()
 #: Words whose digests a worker remembers, and bytes above which a word is not remembered.
-REMEMBERED, LONGEST_REMEMBERED = 1 << 20, 64
+REMEMBERED, LONGEST_REMEMBERED = 1 << 16, 64
 
 
 class _Digests(dict):
