@@ -13,9 +13,12 @@ ROWS_OF_SLICE = 500
 
 def slices(batches: Iterable) -> Iterator:
     """Batches of at most ROWS_OF_SLICE rows, so that a worker holds few texts as objects."""
+    import pyarrow as pa
+
     for b in batches:
         for first in range(0, b.num_rows, ROWS_OF_SLICE):
             yield b.slice(first, ROWS_OF_SLICE)
+    pa.default_memory_pool().release_unused()  # the worker may wait for long
 
 
 def groups(batches: Iterable, n_keys: int) -> Iterator:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .arrow_groups import groups
 from .ship import ship
-from .storage import keep_keyed, materialize, new_path, same_key, text_mark
+from .storage import keep_keyed, materialize, maybe_among, new_path, same_key, text_mark
 
 #: The characters that normalisation deletes, [\x20\x09-\x0D].
 BLANKS = ["\x20", "\x09", "\x0a", "\x0b", "\x0c", "\x0d"]
@@ -38,8 +38,6 @@ RUN_ROWS, FLUSHES, MOST_GENERATIONS = 1 << 20, 2, 4
 ROWS_OF_FILTER, BITS_PER_ROW, PROBES = 1 << 16, 10, 5
 #: Rows of a group of copies that share one copy of the kept text during verification.
 ROWS_PER_COPY = 512
-#: Longs of the bitmap that spares texts without hits the shuffle (1 MB, whatever the number of hits).
-BITMAP = 1 << 17
 
 
 def normalised(text: Column) -> Column:
@@ -183,18 +181,6 @@ class DigestIndex:
         return rows.withColumns({k: F.when(alone, F.col(v)).otherwise(F.col(k)) for k, v in mine.items()}).withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
 
 
-def key_bitmap(keys: DataFrame) -> DataFrame:
-    """One row, bitmap: an array of BITMAP longs with a bit for each key (doc_id, mark)."""
-    place = _place()
-    words = keys.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    every = keys.sparkSession.range(BITMAP).withColumnRenamed("id", "word").join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).cast("long").alias("bits"))
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bitmap"))
-
-
-def _place() -> Column:
-    return F.pmod(F.xxhash64("doc_id", "mark"), F.lit(BITMAP * 64))
-
-
 def _unequal_hits(groups_: DataFrame, docs: DataFrame) -> DataFrame:
     """Digests of hits whose normalised text differs from the kept row's; docs has doc_id, mark, text.
 
@@ -206,10 +192,7 @@ def _unequal_hits(groups_: DataFrame, docs: DataFrame) -> DataFrame:
     keeps = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))
     hits = groups_.filter("group_size > 1").select(F.col("doc_id").alias("id_"), F.col("mark").alias("mark_"), "digest", salts.alias("salts"), keeps.alias("keeps")).distinct()
     hits = materialize(hits, "hits")
-    bitmap = materialize(key_bitmap(hits.select(F.col("id_").alias("doc_id"), F.col("mark_").alias("mark"))), "bitmap")
-    place = _place()
-    held = F.call_function("shiftright", F.element_at("bitmap", (F.shiftright(place, 6) + 1).cast("int")), (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-    some = docs.crossJoin(F.broadcast(bitmap)).filter(held).select("doc_id", "mark", "text")
+    some = maybe_among(docs, hits.select(F.col("id_").alias("doc_id"), F.col("mark_").alias("mark")))
     met = some.join(hits, same_key(some, "doc_id", "mark", hits, "id_", "mark_")).select("digest", "salts", "keeps", "doc_id", "mark", normalised(F.col("text")).alias("normal"))
     met = materialize(met, "verified")
     members = met.filter(~F.col("keeps")).select("digest", "normal", F.pmod(F.xxhash64("doc_id", "mark"), F.col("salts")).cast("int").alias("salt"))

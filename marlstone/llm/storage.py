@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, materialize, new_path, shared_folder
 
-__all__ = ["discard", "free_names", "keep_keyed", "materialize", "new_path", "same_key", "shared_folder", "text_mark"]
+__all__ = ["discard", "free_names", "keep_keyed", "materialize", "maybe_among", "new_path", "same_key", "shared_folder", "text_mark"]
 
 
 def free_names(df: DataFrame, *stems: str) -> list[str]:
@@ -26,6 +26,33 @@ def text_mark(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+#: Longs of the bitmap that spares most texts a shuffle (1 MB, whatever the number of keys).
+BITMAP = 1 << 17
+
+
+def key_bitmap(keys: DataFrame) -> DataFrame:
+    """One row, bitmap: an array of BITMAP longs with a bit for each key (doc_id, mark)."""
+    place = _place()
+    words = keys.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = keys.sparkSession.range(BITMAP).withColumnRenamed("id", "word").join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).cast("long").alias("bits"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bitmap"))
+
+
+def _place() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "mark"), F.lit(BITMAP * 64))
+
+
+def maybe_among(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, mark, ...) whose key is among keys, and some others.
+
+    A bitmap of fixed size is broadcast: with many keys it lets more rows through, and no row of keys is lost.
+    """
+    bitmap = materialize(key_bitmap(keys), "bitmap")
+    place, (name,) = _place(), free_names(docs, "bitmap")
+    held = F.call_function("shiftright", F.element_at(name, (F.shiftright(place, 6) + 1).cast("int")), (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return docs.crossJoin(F.broadcast(bitmap.withColumnRenamed("bitmap", name))).filter(held).select(docs.columns)
+
+
 def same_key(df: DataFrame, id_col: str, mark_col: str, other: DataFrame, other_id: str, other_mark: str) -> Column:
     return df[id_col].eqNullSafe(other[other_id]) & (df[mark_col] == other[other_mark])
 
