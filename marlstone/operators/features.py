@@ -11,10 +11,12 @@ import json
 from collections.abc import Callable, Sequence
 from itertools import combinations, combinations_with_replacement
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import box_cox, clip, interpolate, normal_quantile, present, yeo_johnson
+from ..sources.shared import discard, materialize
 from .ordering import most_frequent, order_statistics
 
 
@@ -355,3 +357,87 @@ def standard_pipeline(columns: Sequence[str], outliers: bool = False, scaling: s
         out.add_step("outliers", OutlierHandler(columns))
     scalers = {"standard": StandardScaler, "minmax": MinMaxScaler, "robust": RobustScaler, "maxabs": MaxAbsScaler}
     return out.add_step("scale", scalers[scaling](columns))
+
+
+def _named(df: DataFrame, name: str, make: Callable[[Sequence[str]], ColumnwiseTransformer], columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """df with the transformer's output beside its columns, as name__column."""
+    made = {f"{name}__{c}": F.col(c) for c in columns}
+    return make(list(made)).fit_transform(df.withColumns(made)), list(made)
+
+
+def column_transform(df: DataFrame, steps: Sequence[tuple[str, Callable[[Sequence[str]], ColumnwiseTransformer], Sequence[str]]], remainder: str = "drop") -> DataFrame:
+    """Each transformer over its own columns, as name__column; other columns are dropped or passed through."""
+    used = {c for _, _, columns in steps for c in columns}
+    kept = [c for c in df.columns if c not in used] if remainder == "passthrough" else []
+    out: list[str] = []
+    for name, make, columns in steps:
+        df, names = _named(df, name, make, columns)
+        out += names
+    return df.select(*kept, *out)
+
+
+def feature_union(df: DataFrame, columns: Sequence[str], makers: dict[str, Callable[[Sequence[str]], ColumnwiseTransformer]], weights: dict[str, float] | None = None) -> DataFrame:
+    """All transformers over the same columns, side by side as name__column, times their weights; other columns stay."""
+    for name, make in makers.items():
+        df, names = _named(df, name, make, columns)
+        df = df.withColumns({c: F.col(c) * (weights or {}).get(name, 1.0) for c in names})
+    return df.drop(*columns)
+
+
+def categorical_pipeline(df: DataFrame, columns: Sequence[str], encoding: str = "onehot", scaling: str | None = "standard") -> DataFrame:
+    """Categories as indicators (onehot) or codes (ordinal) in place of their columns, then scaled."""
+    made: list[str] = []
+    for c in columns:
+        values = categories(df, c)
+        df = one_hot(df, c, values) if encoding == "onehot" else df.withColumn(f"{c}_code", ordinal(df, c, values).cast("double"))
+        made += [f"{c}_{v}" for v in values] if encoding == "onehot" else [f"{c}_code"]
+    scalers = {"standard": StandardScaler, "minmax": MinMaxScaler}
+    df = df.drop(*columns)
+    return scalers[scaling](made).fit_transform(df) if scaling else df
+
+
+def iterative_impute(df: DataFrame, columns: Sequence[str], rounds: int = 10, tol: float = 1e-3, linear: bool = True) -> DataFrame:
+    """Missing values from a linear model of each column on the others, column by column, until fills settle.
+
+    Fills start as means (and stay means with linear=False). A step fits one column on
+    the rows that have it, by one aggregation, and writes the rows that lack any
+    column; complete rows are summed once and never written. Stops after a round whose
+    largest change is below tol times the largest value. A column without any value stays null.
+    """
+    values = {c: present(df, c).cast("double") for c in columns}
+    means = df.agg(*[F.avg(v).alias(c) for c, v in values.items()]).first()
+    if not linear:
+        return df.withColumns({c: F.coalesce(v, F.lit(means[c])) for c, v in values.items()})
+    used = [c for c in columns if means[c] is not None]
+    if not used:
+        return df.withColumns(values)
+    lacking = F.lit(False)
+    for c in used:
+        lacking = lacking | values[c].isNull()
+    complete = _sums(df.filter(~lacking).select(*[values[c].alias(c) for c in used]), used)
+    gaps = df.filter(lacking).withColumns({f"_lack_{c}": values[c].isNull() for c in used})
+    gaps = written = materialize(gaps.withColumns({c: F.coalesce(values[c], F.lit(means[c])) for c in used}), "impute")
+    lacks = gaps.agg(*[F.max(f"_lack_{c}").alias(c) for c in used], *[F.max(F.abs(F.col(c))).alias(f"top_{c}") for c in used]).first()
+    for _ in range(rounds):
+        most = 0.0
+        for c in [c for c in used if lacks[c]]:
+            sums = complete + _sums(gaps.filter(~F.col(f"_lack_{c}")), used)
+            at, k = [0, *[1 + used.index(o) for o in used if o != c]], 1 + used.index(c)
+            b = np.linalg.lstsq(sums[np.ix_(at, at)], sums[at, k], rcond=None)[0].tolist()
+            guess = F.lit(b[0])
+            for o, v in zip([o for o in used if o != c], b[1:]):
+                guess = guess + F.col(o) * v
+            step = materialize(gaps.withColumn("_was", F.col(c)).withColumn(c, F.when(F.col(f"_lack_{c}"), guess).otherwise(F.col(c))), "impute")
+            most = max(most, step.agg(F.max(F.abs(F.col(c) - F.col("_was")))).first()[0] or 0.0)
+            discard(written)
+            written, gaps = step, step.drop("_was")
+        if most < tol * max([lacks[f"top_{c}"] or 0.0 for c in used], default=0.0):
+            break
+    return df.filter(~lacking).withColumns({c: values[c] for c in used}).unionByName(gaps.select(*df.columns))
+
+
+def _sums(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Products of (1, columns) with each other, summed over the rows."""
+    v = [F.lit(1.0), *map(F.col, columns)]
+    row = df.agg(*[F.sum(v[i] * v[j]).alias(f"s{i}_{j}") for i in range(len(v)) for j in range(i, len(v))]).first()
+    return np.array([[row[f"s{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(v))] for i in range(len(v))])

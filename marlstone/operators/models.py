@@ -151,11 +151,26 @@ def multi_label_indicators(df: DataFrame, column: str, classes: Sequence[str]) -
     return df.withColumns({f"{column}_{c}": F.array_contains(column, c).cast("int") for c in classes})
 
 
-def decision_stump(df: DataFrame, columns: Sequence[str], label: str, weight: Column, cuts: int = 32) -> DataFrame:
-    """feature, threshold, polarity, error of the best weighted stump over quantile cuts; one aggregation. Labels are 0 and 1."""
+def stump_cuts(df: DataFrame, columns: Sequence[str], cuts: int = 32) -> dict[str, list[float]]:
+    """Quantiles of the columns, at which stumps may cut."""
     edges = df.agg(*[F.percentile_approx(c, [k / cuts for k in range(1, cuts)], 10_000).alias(f"_{c}") for c in columns]).first()
-    tests = [(c, float(t)) for c in columns for t in sorted(set(edges[f"_{c}"] or []))]
-    above = [F.sum(F.when((F.col(c) > t).cast("int") != F.col(label), weight).otherwise(0.0)).alias(f"e{k}") for k, (c, t) in enumerate(tests)]
-    row = df.agg(F.sum(weight).alias("_w"), *above)
-    made = [F.struct(F.least(F.col(f"e{k}"), F.col("_w") - F.col(f"e{k}")).alias("error"), F.lit(c).alias("feature"), F.lit(t).alias("threshold"), F.when(F.col(f"e{k}") <= F.col("_w") / 2, 1).otherwise(-1).alias("polarity")) for k, (c, t) in enumerate(tests)]
-    return row.select(F.array_min(F.array(*made)).alias("s")).select("s.*")
+    return {c: [float(t) for t in sorted(set(edges[f"_{c}"] or []))] for c in columns}
+
+
+def best_stump(df: DataFrame, cuts: Mapping[str, Sequence[float]], label: str, weight: Column) -> dict | None:
+    """feature, threshold, polarity, error and total weight of the best stump, in one aggregation; None without cuts."""
+    tests = [(c, float(t)) for c, at in cuts.items() for t in at]
+    if not tests:
+        return None
+    wrong = [F.sum(F.when((F.col(c) > t).cast("int") != F.col(label), F.col("_w")).otherwise(0.0)).alias(f"e{k}") for k, (c, t) in enumerate(tests)]
+    row = df.withColumn("_w", weight).agg(F.sum("_w").alias("total"), *wrong).first()
+    total = row["total"] or 0.0
+    found = [(min(e := row[f"e{k}"] or 0.0, total - e), c, t, 1 if e <= total / 2 else -1) for k, (c, t) in enumerate(tests)]
+    return dict(zip(["error", "feature", "threshold", "polarity"], min(found))) | {"total": total}
+
+
+def decision_stump(df: DataFrame, columns: Sequence[str], label: str, weight: Column, cuts: int = 32) -> DataFrame:
+    """feature, threshold, polarity, error of the best weighted stump over quantile cuts. Labels are 0 and 1."""
+    best = best_stump(df, stump_cuts(df, columns, cuts), label, weight)
+    rows = [(best["error"], best["feature"], best["threshold"], best["polarity"])] if best else []
+    return df.sparkSession.createDataFrame(rows, "error double, feature string, threshold double, polarity int")

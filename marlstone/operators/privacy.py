@@ -146,3 +146,32 @@ def clip_gradients(df: DataFrame, vector: str, bound: float, norm: str = "l2") -
         return df.withColumn(vector, F.transform(vector, lambda x: clip(x, -bound, bound)))
     factor = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(bound), F.sqrt(dot(F.col(vector), F.col(vector)))), F.lit(1.0)))
     return df.withColumn("_f", factor).withColumn(vector, F.transform(vector, lambda x: x * F.col("_f"))).drop("_f")
+
+
+def private_labels(df: DataFrame, key: str, label: str, epsilon: float, sensitivity: float = 1.0, seed: int = 0, noise: bool = True) -> DataFrame:
+    """Labels with Laplace noise of their own."""
+    return df.withColumn(label, F.col(label) + laplace_noise(F.concat_ws("|", key, F.lit(label)), laplace_scale(sensitivity, epsilon), seed)) if noise else df
+
+
+def private_dataset(df: DataFrame, key: str, columns: Sequence[str], label: str, bound: float, epsilon: float, sensitivity: float = 1.0, seed: int = 0, noise: bool = True) -> DataFrame:
+    """Features and labels of every row released together; each half takes half of epsilon."""
+    return private_labels(private_rows(df, key, columns, bound, epsilon / 2, seed, noise), key, label, epsilon / 2, sensitivity, seed, noise)
+
+
+def private_gradient_step(df: DataFrame, columns: Sequence[str], label: str, weights: Sequence[float], bound: float, multiplier: float, rate: float, seed: int = 0, noise: bool = True) -> list[float]:
+    """Logistic weights (intercept first) after one step on per-row gradients clipped to bound, summed with Gaussian noise; one aggregation."""
+    v = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in columns])
+    e = 1 / (1 + F.exp(-dot(v, F.array(*map(F.lit, map(float, weights)))))) - F.col(label)
+    size = F.abs(e) * F.sqrt(dot(v, v))
+    clipped = e * F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(bound), size), F.lit(1.0)))
+    add = lambda k: gaussian_noise(F.lit(k), multiplier * bound, seed + 2 * k) if noise else F.lit(0.0)
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[(F.sum(clipped * v[k]) + add(k)).alias(f"g{k}") for k in range(len(weights))]).first()
+    return [w - rate * (row[f"g{k}"] or 0.0) / max(row["n"], 1) for k, w in enumerate(weights)]
+
+
+def private_training(df: DataFrame, columns: Sequence[str], label: str, steps: int, bound: float, multiplier: float, rate: float, seed: int = 0, noise: bool = True) -> list[float]:
+    """Logistic weights after so many private steps over all rows, each with noise of its own."""
+    weights = [0.0] * (len(columns) + 1)
+    for step in range(steps):
+        weights = private_gradient_step(df, columns, label, weights, bound, multiplier, rate, seed + 1000 * step, noise)
+    return weights

@@ -192,3 +192,8 @@ def segments_by_quintile(df: DataFrame, key: str, column: str, bins: int = 5, de
     n = F.size(F.filter("edges", lambda e: e < F.col(column)))
     bin_ = (F.lit(bins) - n) if descending else (n + 1)
     return df.crossJoin(F.broadcast(edges)).select(key, bin_.cast("int").alias(f"{column}_bin"))
+
+
+def due_retries(deliveries: DataFrame, attempts: str, due: str, key: str, now: Column, most_attempts: int, batch: int) -> DataFrame:
+    """The next batch of a retry queue: deliveries that are due and have attempts left, those due longest first."""
+    return deliveries.filter((F.col(due) <= now) & (F.col(attempts) < most_attempts)).orderBy(due, key).limit(batch)

@@ -174,3 +174,29 @@ def infer_schema(df: DataFrame) -> DataFrame:
     row = df.agg(*[x for c in df.columns for x in (F.bool_or(F.col(c).isNull()).alias(f"{c}|u"), (F.min(c).cast("double") if c in numeric else none).alias(f"{c}|l"), (F.max(c).cast("double") if c in numeric else none).alias(f"{c}|h"))])
     kinds = dict(df.dtypes)
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("dtype"), F.col(f"`{c}|u`").alias("nullable"), F.col(f"`{c}|l`").alias("low"), F.col(f"`{c}|h`").alias("high")) for c in df.columns])).alias("s")).select("s.*")
+
+
+def shape_check(df: DataFrame, columns: Sequence[str], min_samples: int = 1, min_features: int = 1, max_features: int | None = None) -> DataFrame:
+    """n_samples, n_features, valid: whether the numbers of rows and feature columns lie within bounds."""
+    width = len(columns)
+    fits = width >= min_features and (max_features is None or width <= max_features)
+    n = F.count(F.lit(1))
+    return df.agg(n.alias("n_samples"), F.lit(width).alias("n_features"), ((n >= min_samples) & F.lit(fits)).alias("valid"))
+
+
+def range_check(df: DataFrame, columns: Sequence[str], low: float | None = None, high: float | None = None) -> DataFrame:
+    """lowest, highest, valid over all the columns."""
+    lowest = F.array_min(F.array(*[F.min(F.col(c).cast("double")) for c in columns]))
+    highest = F.array_max(F.array(*[F.max(F.col(c).cast("double")) for c in columns]))
+    good = F.coalesce(lowest >= low if low is not None else F.lit(True), F.lit(True)) & F.coalesce(highest <= high if high is not None else F.lit(True), F.lit(True))
+    return df.agg(lowest.alias("lowest"), highest.alias("highest"), good.alias("valid"))
+
+
+def target_check(df: DataFrame, target: str, n_samples: int, task: str = "regression") -> DataFrame:
+    """n, n_classes, valid: as many targets as rows, none missing, and for classification whole numbers of two classes or more."""
+    c = F.col(target)
+    n, classes = F.count(F.lit(1)), F.count_distinct(c)
+    good = (n == n_samples) & (F.count(c) == n)
+    if task != "regression":
+        good = good & (classes >= 2) & F.coalesce(F.bool_and(c.cast("double") == F.floor(c.cast("double"))), F.lit(True))
+    return df.agg(n.alias("n"), classes.alias("n_classes"), good.alias("valid"))

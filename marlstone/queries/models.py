@@ -116,3 +116,16 @@ def _ml(kind: str, **params):
 
 for _kind, _params in {"decision_tree": {"maxDepth": 3}, "random_forest": {"numTrees": 5, "maxDepth": 3, "seed": 1}, "gradient_boosting": {"maxIter": 3, "maxDepth": 2, "seed": 1}, "logistic": {"maxIter": 5}, "linear_svm": {"maxIter": 5}, "kmeans": {"k": 3, "seed": 1}, "gaussian_mixture": {"k": 2, "seed": 1, "maxIter": 5}}.items():
     query(name=f"ml_{_kind}")(_ml(_kind, **_params))
+
+
+@query("""WITH s AS (SELECT covar_pop(l_quantity, l_extendedprice) AS c, var_pop(l_quantity) AS v FROM lineitem)
+SELECT round(sign(c) * greatest(abs(c) - 50, 0) / (v + 50), 4) AS slope FROM s""")
+def elastic_net_regression(spark, sf_dir):
+    b = M.lasso(table(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice", 100.0, 0.5, 2000)
+    return spark.createDataFrame([(round(b["l_quantity"], 4),)], "slope double")
+
+
+@query()
+def isotonic_regression(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), "p_retailprice")
+    return M.isotonic(rows, "size", "p_retailprice").select("p_partkey", "fitted")

@@ -178,3 +178,26 @@ def label_check(spark, sf_dir):
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS n_negative, 0::BIGINT AS n_not_finite FROM customer")
 def weight_check(spark, sf_dir):
     return V.weight_check(table(spark, sf_dir, "customer"), "c_acctbal")
+
+
+@query("SELECT count(*) AS n_samples, 2::INT AS n_features, count(*) >= 10 AS valid FROM lineitem")
+def shape_check(spark, sf_dir):
+    return V.shape_check(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], 10)
+
+
+@query("SELECT least(min(l_quantity), min(l_discount)) AS lowest, greatest(max(l_quantity), max(l_discount)) AS highest, least(min(l_quantity), min(l_discount)) >= 0 AND greatest(max(l_quantity), max(l_discount)) <= 40 AS valid FROM lineitem")
+def range_check(spark, sf_dir):
+    return V.range_check(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], 0, 40)
+
+
+@query("""SELECT count(*) AS n, count(DISTINCT quality) AS n_classes, count(quality) = count(*) AND count(*) = (SELECT count(*) FROM labels) AND count(DISTINCT quality) >= 2 AND coalesce(bool_and(quality = floor(quality)), true) AS valid FROM labels""")
+def target_check(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels")
+    return V.target_check(rows, "quality", rows.count(), "classification")
+
+
+@query(r"""SELECT doc_id, text IS NULL OR trim(text) = '' AS missing, coalesce(length(trim(text)) = 0, false) AS blank, coalesce(NOT regexp_matches(text, '^[a-z ]+'), false) AS unlike, coalesce(TRY_CAST(source AS BIGINT) IS NULL AND source IS NOT NULL, false) AS no_number, coalesce(NOT length(text) % 2 = 0, false) AS odd FROM documents""")
+def value_constraints(spark, sf_dir):
+    """Constraints on missing, blank, unlike and ill-typed values, and one of the user's own."""
+    tests = {"missing": (V.not_null(), "text"), "blank": (V.not_empty(), "text"), "unlike": (V.matches("[a-z ]+"), "text"), "no_number": (V.is_type("int"), "source"), "odd": (V.custom("even", lambda c: F.length(c) % 2 == 0), "text")}
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.coalesce(k.broken(F.col(c)), F.lit(False)).alias(n) for n, (k, c) in tests.items()])

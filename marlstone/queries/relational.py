@@ -364,3 +364,11 @@ def path_join_distinct(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").filter("r_name = 'EUROPE'"), F.col("n_regionkey") == F.col("r_regionkey"))
     active = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
     return active.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count_distinct("c_custkey").alias("companies"))
+
+
+@query("""SELECT event_id, attempts, due FROM (SELECT event_id, (event_id % 6)::INT AS attempts, ts + INTERVAL 1 HOUR AS due FROM events WHERE event_type = 'error')
+WHERE due <= TIMESTAMP '2024-01-15 00:00:00' AND attempts < 5 ORDER BY due, event_id LIMIT 100""")
+def retry_queue(spark, sf_dir):
+    """Failed events that are due again an hour later; the batch of 100 is the feature."""
+    failed = table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", (F.col("event_id") % 6).cast("int").alias("attempts"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("due"))
+    return R.due_retries(failed, "attempts", "due", "event_id", F.lit("2024-01-15 00:00:00").cast("timestamp"), 5, 100)
