@@ -47,10 +47,12 @@ def stacked_linear(df: DataFrame, members: Mapping[str, Sequence[str]], target:
     """Weights of a linear meta model over the members' out-of-fold predictions, and the members fitted on all rows.
 
     A member's prediction is linear in the columns, so the meta model's sums follow
-    from those of the folds: one pass over the rows in all.
+    from those of the folds: one pass over the rows, after one for the means, which are
+    subtracted first so that large sums do not cancel.
     """
     columns = list(dict.fromkeys(c for cs in members.values() for c in cs))
-    parts = fold_equations(df, columns, target, fold)
+    means = df.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).cast("double").alias(c) for c in [*columns, target]]).first()
+    parts = fold_equations(df.withColumns({c: F.col(c) - means[c] for c in [*columns, target]}), columns, target, fold)
     total = sum(parts.values())
     at = {m: [0, *[1 + columns.index(c) for c in cs], len(columns) + 1] for m, cs in members.items()}
 
@@ -65,7 +67,10 @@ def stacked_linear(df: DataFrame, members: Mapping[str, Sequence[str]], target:
         rows = np.array([ends[0], *[member(total - own, where) for where in at.values()], ends[-1]])
         meta += rows @ own @ rows.T
     weights = dict(zip(["intercept", *members], solve(meta).tolist()))
+    weights["intercept"] += means[target] * (1 - sum(weights[m] for m in members))
     final = {m: dict(zip(["intercept", *members[m]], member(total, where)[where[:-1]].tolist())) for m, where in at.items()}
+    for coefficients in final.values():
+        coefficients["intercept"] += means[target] - sum(v * means[c] for c, v in coefficients.items() if c != "intercept")
     return weights, final
 
 

@@ -185,9 +185,9 @@ def shape_check(df: DataFrame, columns: Sequence[str], min_samples: int = 1, min
 
 
 def range_check(df: DataFrame, columns: Sequence[str], low: float | None = None, high: float | None = None) -> DataFrame:
-    """lowest, highest, valid over all the columns."""
-    lowest = F.array_min(F.array(*[F.min(F.col(c).cast("double")) for c in columns]))
-    highest = F.array_max(F.array(*[F.max(F.col(c).cast("double")) for c in columns]))
+    """lowest, highest, valid over all the columns; a zero has no sign."""
+    lowest = F.array_min(F.array(*[F.min(F.col(c).cast("double")) for c in columns])) + 0.0
+    highest = F.array_max(F.array(*[F.max(F.col(c).cast("double")) for c in columns])) + 0.0
     good = F.coalesce(lowest >= low if low is not None else F.lit(True), F.lit(True)) & F.coalesce(highest <= high if high is not None else F.lit(True), F.lit(True))
     return df.agg(lowest.alias("lowest"), highest.alias("highest"), good.alias("valid"))
 

@@ -185,7 +185,7 @@ def shape_check(spark, sf_dir):
     return V.shape_check(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], 10)
 
 
-@query("SELECT least(min(l_quantity), min(l_discount)) AS lowest, greatest(max(l_quantity), max(l_discount)) AS highest, least(min(l_quantity), min(l_discount)) >= 0 AND greatest(max(l_quantity), max(l_discount)) <= 40 AS valid FROM lineitem")
+@query("SELECT least(min(l_quantity), min(l_discount)) + 0.0 AS lowest, greatest(max(l_quantity), max(l_discount)) + 0.0 AS highest, least(min(l_quantity), min(l_discount)) >= 0 AND greatest(max(l_quantity), max(l_discount)) <= 40 AS valid FROM lineitem")
 def range_check(spark, sf_dir):
     return V.range_check(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], 0, 40)
 
