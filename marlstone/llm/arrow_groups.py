@@ -13,12 +13,23 @@ ROWS_OF_SLICE = 500
 
 def slices(batches: Iterable) -> Iterator:
     """Batches of at most ROWS_OF_SLICE rows, so that a worker holds few texts as objects."""
-    import pyarrow as pa
-
     for b in batches:
         for first in range(0, b.num_rows, ROWS_OF_SLICE):
             yield b.slice(first, ROWS_OF_SLICE)
-    pa.default_memory_pool().release_unused()  # the worker may wait for long
+    b = None
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system: a worker waits idle beside those of later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim:
+        trim(0)
 
 
 def groups(batches: Iterable, n_keys: int) -> Iterator:
@@ -46,6 +57,8 @@ def groups(batches: Iterable, n_keys: int) -> Iterator:
         last = keys[:, -1]
     if carry:
         yield _joined(pa, carry)
+    carry = b = None
+    give_back()
 
 
 def _joined(pa, parts: list):

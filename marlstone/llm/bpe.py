@@ -33,7 +33,7 @@ from .ship import ship
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text handled at a time, and pieces a worker remembers (about 200 bytes each).
-BLOCK, REMEMBERED = 1 << 20, 1 << 18
+BLOCK, REMEMBERED = 1 << 18, 1 << 17
 
 SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text handled at a time; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _ODD = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -69,7 +69,7 @@ def hash_words(texts: list[bytes], blank: np.ndarray = _BLANK) -> tuple[np.ndarr
 
 _LOWER_BYTES = _LOWER.tobytes()
 #: Words whose digests a worker remembers, and bytes above which a word is not remembered.
-REMEMBERED, LONGEST_REMEMBERED = 1 << 16, 64
+REMEMBERED, LONGEST_REMEMBERED = 1 << 15, 64
 
 
 class _Digests(dict):
