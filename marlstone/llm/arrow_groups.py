@@ -32,6 +32,17 @@ def give_back() -> None:
         trim(0)
 
 
+class Numbers(dict):
+    """Numbers of words, in the order of their first occurrence."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 def groups(batches: Iterable, n_keys: int) -> Iterator:
     """A record batch for each run of rows that agree in the first n_keys columns (integers).
 

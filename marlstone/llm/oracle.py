@@ -86,4 +86,63 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM k
 """
 
-ORACLE_SQL = {"op2_warc_normaliser": OP2, "op1_sharding": OP1, "op8_secret_scan": OP8, "op10_exact_dedup": OP10}
+#: One row, crcs: what a zero byte makes of each low byte of a CRC-32.
+_CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda k: list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs)"
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a string's UTF-8 bytes, beside crc_table."""
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex({text}), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_LOWER_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
+OP12 = f"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id, row_number() OVER () AS row_no, {_LOWER_WORDS} AS w FROM documents
+  UNION ALL
+  SELECT 't', NULL, row_number() OVER (), {_LOWER_WORDS} FROM benchmark),
+grams AS (
+  SELECT side, row_no, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM words),
+features AS (SELECT side, row_no, g, count(*) AS n FROM grams GROUP BY ALL),
+{_CRC_TABLE},
+strings AS (SELECT DISTINCT g FROM features),
+hashed AS (SELECT g, {_crc32("g")} % 10000 AS bucket FROM strings, crc_table),
+buckets AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t FROM features JOIN hashed USING (g) GROUP BY bucket),
+totals AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM buckets),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM buckets, totals),
+sums AS (SELECT row_no, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM features JOIN hashed USING (g) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row_no),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN sums USING (row_no) WHERE side = 'd'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_words >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 5 * n // 100 THEN r END AS rank FROM ranked
+"""
+
+OP13 = rf"""
+WITH {_CRC_TABLE},
+split AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc32("doc_id::VARCHAR")} AS h
+  FROM documents, crc_table),
+tails AS (SELECT *, len(w) AS n, (h // 10) % len(w) AS a, 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) AS p FROM split),
+texts AS (
+  SELECT doc_id, r, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w
+  FROM tails),
+places AS (SELECT r, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM texts),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS q FROM places x JOIN places y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM pairs)
+  GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY ALL),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+stays AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS collapsed FROM places ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM texts LEFT JOIN best USING (r) LEFT JOIN listed USING (r) LEFT JOIN stays USING (r)
+"""
+
+ORACLE_SQL = {"op2_warc_normaliser": OP2, "op1_sharding": OP1, "op8_secret_scan": OP8, "op10_exact_dedup": OP10, "op12_importance": OP12, "op13_periodic_runs": OP13}
