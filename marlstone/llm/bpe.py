@@ -70,19 +70,39 @@ def _codec(data: bytes):
 
 
 @lru_cache(1)
-def _classes() -> np.ndarray:
-    """Class of every code point under the pattern."""
-    import regex
+def class_runs() -> tuple[np.ndarray, np.ndarray]:
+    """(first code point, class) of each run of code points in one class, as the tokenizers library sorts them.
+
+    Found in one pass over all code points, on the driver; the runs go to the workers with the functions.
+    """
+    from tokenizers import Regex, pre_tokenizers
 
     out = np.full(0x110000, OTHER, np.uint8)
     points = np.arange(0x110000, dtype=np.uint32)
     points[0xD800:0xE000] = ord("!")  # surrogates are no text
     every = points.tobytes().decode("utf-32-le")
     for cls, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for found in regex.finditer(pattern, every):
-            out[found.start() : found.end()] = cls
+        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            out[a:b] = cls
     out[0xD800:0xE000] = OTHER
-    return out
+    first = np.flatnonzero(np.diff(out, prepend=255))
+    return first, out[first]
+
+
+_table: list[np.ndarray] = []
+
+
+def take_classes(runs: tuple[np.ndarray, np.ndarray]) -> None:
+    """Set the class of every code point, once for each process."""
+    if not _table:
+        _table.append(np.repeat(runs[1], np.diff(runs[0], append=0x110000)))
+
+
+def _classes() -> np.ndarray:
+    """Class of every code point under the pattern."""
+    if not _table:
+        take_classes(class_runs())
+    return _table[0]
 
 
 def piece_starts(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -281,12 +301,13 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     The vocabulary file is read on the driver and goes to the workers with the function (under a megabyte).
     """
     ship(docs.sparkSession)
-    data = _vocabulary(vocab_path)
+    data, classes = _vocabulary(vocab_path), class_runs()
     schema = "doc_id long, ids array<int>" + ", char_starts array<int>, char_ends array<int>" * with_offsets
 
     def run(batches):
         import pyarrow as pa
 
+        take_classes(classes)
         codec = encoder(data)
         for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -322,12 +343,13 @@ def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
     restored: the decoded bytes are the text's.
     """
     ship(docs.sparkSession)
-    data = _vocabulary(vocab_path)
+    data, classes = _vocabulary(vocab_path), class_runs()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, restored boolean" + ", ids array<int>" * with_ids
 
     def run(batches):
         import pyarrow as pa
 
+        take_classes(classes)
         codec = encoder(data)
         for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]

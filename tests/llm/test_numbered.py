@@ -276,6 +276,15 @@ def test_offsets_of_characters_split_over_tokens(vocabulary):
     assert text.startswith(cut.rstrip("�"))
 
 
+def test_every_code_point_is_encoded_as_tiktoken_does(vocabulary):
+    tiktoken, public = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    data = Path(vocabulary).read_bytes()
+    library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=bpe.load_ranks(data), special_tokens={})
+    texts = [f"a{c}a1{c}1" for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    for text, ids in zip(texts, bpe.encoder(data).encode(iter(texts)), strict=True):
+        assert library.encode_ordinary(text) == ids.tolist(), text
+
+
 def test_language_of_held_out_rows(docs):
     model = language_id.fit(docs)
     assert [lang for lang, _ in model][0] == "en" and {lang for lang, _ in model} == {"en", "fr", "de"}
@@ -325,6 +334,36 @@ def test_texts_of_an_unlearned_language_are_rejected(spark):
     assert kept == {i for i, r in got.items() if not r["rejected"]}
 
 
+def test_languages_of_rows_without_identifiers(spark):
+    rng = random.Random(9)
+    vocabulary = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(500)] for lang, letters in (("aa", "aeionrstlu"), ("bb", "aeiomkpdgz"))}
+    n = 2 * language_id.MARGIN_FOLD * language_id.MARGIN_ROWS + 800  # more rows than the sample's threshold lets through
+    rows = [(None, " ".join(rng.choice(vocabulary[lang]) for _ in range(25)), lang) for lang in ("aa", "bb") for _ in range(n)]
+    rows += [(None, rows[0][1], "aa")] * 3000 + [(i, rows[-1][1], "bb") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.fit(docs)
+    assert {lang for lang, _ in model} == {"aa", "bb"}
+    kept = language_id.keep_identified(docs, model).groupBy("lang").count().collect()
+    assert all(r["count"] > 0.95 * n for r in kept) and len(kept) == 2
+
+
+def test_the_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    rows = [(i, f"{lang} words of {lang}", lang) for i, lang in enumerate(["x"] * 12 + ["y"] * 8 + ["z"] * 3)]
+    assert [lang for lang, _ in language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))] == ["x", "y"]
+
+
+def test_language_rejections_are_those_of_a_plain_loop(docs):
+    model = language_id.fit(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in language_id.predict(docs, model).collect():
+        text = texts[r["doc_id"]]
+        size = len(language_id.prepare(text or ""))
+        lang, _, margin = language_id.classify(tuple(model), text)
+        bound = max(language_id.LEAST_MARGIN, model.scale / max(1, size) ** 0.5)
+        assert r["rejected"] == (lang == "und" or margin < bound)
+
+
 def test_language_training_passages_come_from_the_whole_row(spark):
     rows = [(i, "start " * 2000 + "finish " * 2000, "en") for i in range(40)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
