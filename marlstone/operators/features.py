@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import box_cox, clip, interpolate, normal_quantile, present, yeo_johnson
 from ..sources.shared import discard, materialize
+from .neighbors import Cells, Kernel
 from .ordering import most_frequent, order_statistics
 
 
@@ -301,27 +303,69 @@ def missing_indicator(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*df.columns, *[present(df, c).isNull().cast("int").alias(f"{c}_missing") for c in columns])
 
 
+class _Donors(Kernel):
+    """The k donors nearest to each held row over the columns that both have, and the weighted means of their values."""
+
+    def __init__(self, k: int, weighted: bool) -> None:
+        super().__init__()
+        self.k, self.weighted = k, weighted
+
+    def start(self, site, v, has):
+        n, width = v.shape
+        self.d, self.key = np.full((n, self.k), np.inf), np.full((n, self.k), np.iinfo(np.int64).max)
+        self.value, self.given = np.zeros((n, self.k, width)), np.zeros((n, self.k, width), bool)
+
+    def visit(self, site, v, has):
+        if not self._parts:
+            return
+        _, mine, own = self.held
+        bits = np.arange(v.shape[1])
+        owns, gives = (own[:, None] >> bits) & 1 == 1, (has[:, None] >> bits) & 1 == 1
+        step = max(1, (1 << 20) // max(1, len(mine)))
+        for a in range(0, len(site), step):
+            some = slice(a, a + step)
+            total, met = np.zeros((len(mine), len(site[some]))), np.zeros((len(mine), len(site[some])), bool)
+            for c in bits:
+                both = owns[:, c, None] & gives[None, some, c]
+                diff = mine[:, c, None] - v[None, some, c]
+                total += np.where(both, diff * diff, 0.0)
+                met |= both
+            d = np.concatenate([self.d, np.where(met, np.sqrt(total), np.inf)], axis=1)
+            key = np.concatenate([self.key, np.broadcast_to(site[some], total.shape)], axis=1)
+            first = np.lexsort((key, d), axis=1)[:, : self.k]
+            pick = lambda old, new: np.take_along_axis(np.concatenate([old, np.broadcast_to(new, (len(mine), *new.shape))], axis=1), first[:, :, None], 1)  # noqa: E731, B023
+            self.value, self.given = pick(self.value, v[some]), pick(self.given, gives[some])
+            self.d, self.key = np.take_along_axis(d, first, 1), np.take_along_axis(key, first, 1)
+
+    def result(self):
+        w = (1 / (self.d + 1e-10) if self.weighted else np.ones_like(self.d))[:, :, None] * self.given
+        total = w.sum(axis=1)
+        means = np.where(total > 0, (w * self.value).sum(axis=1) / np.where(total > 0, total, 1.0), np.nan)
+        return {"site": self.held[0], "means": list(means)}
+
+    def nothing(self):
+        import pyarrow as pa
+
+        return {"site": pa.array([], pa.int64()), "means": pa.array([], pa.list_(pa.float64()))}
+
+
 def knn_impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, weights: str = "uniform") -> DataFrame:
-    """Missing values from the k nearest rows by the distance over features that both rows have.
+    """Missing values from the k nearest rows by the distance over features that both rows have; keys are integers.
 
-    Rows with gaps meet all rows, so use it where gaps or rows are few; ties go by
-    key. Distances keep k rows per gap row through a bounded partial aggregation.
+    Ties go by key; rows that share no feature are infinitely far. Such distances
+    bound nothing, so blocks of rows with gaps meet all rows, and k donors of each
+    are held.
     """
-    rows = df.select(key, *[present(df, c).alias(c) for c in columns])
-    gaps = rows.filter(F.exists(F.array(*columns), lambda x: x.isNull()))
-    other = rows.select(F.col(key).alias("_j"), *[F.col(c).alias(f"_{c}") for c in columns])
-    both = [F.when(F.col(c).isNotNull() & F.col(f"_{c}").isNotNull(), F.pow(F.col(c) - F.col(f"_{c}"), 2)) for c in columns]
-    some = F.exists(F.array(*both), lambda x: x.isNotNull())
-    d = F.when(some, F.sqrt(F.aggregate(F.array(*both), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))))).otherwise(float("inf"))
-    pairs = gaps.crossJoin(other).select(key, d.alias("_d"), "_j", *[f"_{c}" for c in columns])
-    from pyspark.sql import Window
-
-    near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_d", "_j"))).filter(F.col("_r") <= k)
-    w = F.lit(1.0) if weights == "uniform" else 1 / (F.col("_d") + 1e-10)
-    means = near.groupBy(key).agg(*[F.try_divide(F.sum(F.when(F.col(f"_{c}").isNotNull(), w * F.col(f"_{c}"))), F.sum(F.when(F.col(f"_{c}").isNotNull(), w))).alias(f"_{c}") for c in columns])
+    rows = materialize(df.select(key, *[present(df, c).cast("double").alias(c) for c in columns]), "rows")
+    has = reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(columns)])
+    coded = rows.select(F.col(key).cast("long").alias("site"), F.array(*[F.coalesce(c, F.lit(0.0)) for c in columns]).alias("v"), has.alias("has"))
+    gaps = materialize(coded.filter(F.col("has") != (1 << len(columns)) - 1), "gaps")
+    cells = Cells(gaps)
+    means = cells.sweep(cells.housed(gaps), coded, "double('infinity')", lambda: _Donors(k, weights != "uniform"), "site long, means array<double>")
     overall = rows.agg(*[F.avg(c).alias(f"_{c}_mean") for c in columns])
-    filled = rows.join(means, key, "left").crossJoin(F.broadcast(overall))
-    return filled.select(key, *[F.coalesce(c, f"_{c}", f"_{c}_mean").alias(c) for c in columns])
+    filled = rows.join(means, F.col(key) == F.col("site"), "left").crossJoin(F.broadcast(overall))
+    donor = lambda i: F.nanvl(F.get("means", F.lit(i)), F.lit(None).cast("double"))
+    return filled.select(key, *[F.coalesce(c, donor(i), f"_{c}_mean").alias(c) for i, c in enumerate(columns)])
 
 
 class Pipeline:

@@ -1,18 +1,17 @@
-"""Outlier detectors: boolean flags from broadcast statistics, and neighbour-based scores.
-
-Neighbour-based detectors compare all pairs of the rows they are given, so they
-suit samples or small tables; the pair join is made of column expressions.
-"""
+"""Outlier detectors: boolean flags from broadcast statistics, and scores from neighbours over cells of pivots."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import dot, present
+from ..functions.expressions import present
+from ..sources.shared import materialize
+from .clustering import dbscan
+from .neighbors import nearest
 from .ordering import order_statistics, percentile_row
 
 
@@ -42,30 +41,15 @@ def flag_mad(df: DataFrame, columns: Sequence[str], threshold: float = 3.5) -> D
     return df.select(*df.columns, _any([0.6745 * off(c) / (mads[c] or 1.0) > threshold for c in columns]).alias("is_outlier"))
 
 
-def pair_distances(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """i, j, d: Euclidean distances of all ordered pairs, i != j."""
-    a, b = df.select(F.col(key).alias("i"), F.col(vector).alias("_a")), df.select(F.col(key).alias("j"), F.col(vector).alias("_b"))
-    diff = F.zip_with("_a", "_b", lambda x, y: x.cast("double") - y.cast("double"))
-    return a.join(b, F.col("i") != F.col("j")).select("i", "j", F.sqrt(dot(diff, diff)).alias("d"))
-
-
 def dbscan_noise(df: DataFrame, key: str, vector: str, eps: float, min_samples: int) -> DataFrame:
-    """key, is_noise: not a core row and no core row within eps; a row counts among its own neighbours."""
-    near = pair_distances(df, key, vector).filter(F.col("d") <= eps)
-    counts = near.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    core = counts.filter(F.col("n") + 1 >= min_samples).select(F.col("i").alias("_core"))
-    reached = near.join(core, F.col("j") == F.col("_core"), "left_semi").select(F.col("i").alias("_i")).union(core).distinct()
-    return df.select(key).join(reached.withColumn("_r", F.lit(True)), F.col(key) == F.col("_i"), "left").select(key, F.col("_r").isNull().alias("is_noise"))
-
-
-def nearest(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    order = Window.partitionBy("i").orderBy("d", "j")
-    return pair_distances(df, key, vector).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k)
+    """key, is_noise: not a core row and no core row within eps; a row counts among its own neighbours. Rows that take no part are noise."""
+    found = dbscan(df, key, vector, eps, min_samples).filter("cluster >= 0").select(F.col(key).alias("_i"), F.lit(True).alias("_r"))
+    return df.select(key).join(found, F.col(key) == F.col("_i"), "left").select(key, F.col("_r").isNull().alias("is_noise"))
 
 
 def local_outlier_factor(df: DataFrame, key: str, vector: str, k: int = 20) -> DataFrame:
     """key, lof: mean local reachability density of the k neighbours over the row's own."""
-    near = nearest(df, key, vector, k)
+    near = materialize(nearest(df, key, vector, k), "near")
     kdist = near.groupBy("i").agg(F.max("d").alias("kd"))
     reach = near.join(kdist.select(F.col("i").alias("j"), "kd"), "j").select("i", "j", F.greatest("kd", "d").alias("reach"))
     lrd = reach.groupBy("i").agg((1 / (F.avg("reach") + 1e-10)).alias("lrd"))
@@ -108,8 +92,8 @@ def isolation_forest(df: DataFrame, key: str, columns: Sequence[str], trees: int
     columns = list(columns)
     n = df.count()
     share = min(1.0, 1.5 * sample / max(n, 1))
-    spread = df.select(*[F.col(c).cast("double").alias(c) for c in columns], F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.col(key).alias("_k"))
-    picked = spread.filter(F.pmod(F.xxhash64("_k", "tree", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.pmod(F.xxhash64(F.col(key), tree, F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    picked = df.select(*[F.col(c).cast("double").alias(c) for c in columns], F.explode(drawn).alias("tree"), F.col(key).alias("_k"))
 
     def grow(pdf):
         import pandas as pd

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from marlstone.operators import clustering as C
+from marlstone.operators import features as X
 from marlstone.operators import neighbors as N
 
 
@@ -144,3 +145,25 @@ def test_small_and_wrong_tables(spark, df):
         N.nearest(df, "site", "v", 3)
     with pytest.raises(ValueError):
         C.agglomerative(df, "k", "v", 2, "complete")
+
+
+def test_knn_impute(spark, block):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, (70, 3)).astype(float)
+    x[rng.random((70, 3)) < 0.25] = np.nan
+    x[:3] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double").repartition(3)
+    for weights in ("uniform", "distance"):
+        want = {}
+        for i, r in enumerate(x):
+            both = ~np.isnan(r)[None] & ~np.isnan(x)
+            d = np.where(both.any(1), np.sqrt(np.where(both, (np.nan_to_num(x) - np.nan_to_num(r)) ** 2, 0).sum(1)), np.inf)
+            near = sorted(range(len(x)), key=lambda j: (d[j], j))[:5]
+            w = np.array([1.0 if weights == "uniform" else 1 / (d[j] + 1e-10) for j in near])
+            for c in range(3):
+                given = np.array([not np.isnan(x[j, c]) for j in near])
+                mean = np.nanmean(x[:, c]) if not (w * given).sum() else sum(w[n] * x[j, c] for n, j in enumerate(near) if given[n]) / (w * given).sum()
+                want[i, c] = mean if np.isnan(r[c]) else r[c]
+        got = {(r["k"], c): r[c + 1] for r in X.knn_impute(df, "k", ["a", "b", "c"], 5, weights).collect() for c in range(3)}
+        assert got == pytest.approx(want)
