@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
+from ..sources.ship import send_package
 
 #: Sites of a part of a cell, most pivots (they are brought to the driver), numbers compared at a time.
 BLOCK, MOST_PIVOTS, AT_ONCE = 4096, 1024, 1 << 20
@@ -70,7 +71,7 @@ class Cells:
         found = table.select("site", "v").orderBy(F.xxhash64("site", F.lit(11)), "site").limit(most).collect()  # at most MOST_PIVOTS
         self.sites = np.array([r["site"] for r in found], np.int64)
         self.pivots = np.array([r["v"] for r in found]) if found else np.zeros((1, 1))
-        self.spark = table.sparkSession
+        send_package(table.sparkSession)
 
     def housed(self, table: DataFrame) -> DataFrame:
         """table with home (cell) and off (distance to its pivot)."""
