@@ -32,14 +32,19 @@ BITMAP = 1 << 17
 
 def key_bitmap(keys: DataFrame) -> DataFrame:
     """One row, bitmap: an array of BITMAP longs with a bit for each key (doc_id, mark)."""
-    place = _place()
+    place = _place(F.col("doc_id"), F.col("mark"))
     words = keys.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     every = keys.sparkSession.range(BITMAP).withColumnRenamed("id", "word").join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).cast("long").alias("bits"))
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bitmap"))
 
 
-def _place() -> Column:
-    return F.pmod(F.xxhash64("doc_id", "mark"), F.lit(BITMAP * 64))
+def _place(doc_id: Column, mark: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, mark), F.lit(BITMAP * 64))
+
+
+def _held(bitmap: Column, place: Column) -> Column:
+    bits = F.element_at(bitmap, (F.shiftright(place, 6) + 1).cast("int"))
+    return F.call_function("shiftright", bits, (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def maybe_among(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -48,8 +53,8 @@ def maybe_among(docs: DataFrame, keys: DataFrame) -> DataFrame:
     A bitmap of fixed size is broadcast: with many keys it lets more rows through, and no row of keys is lost.
     """
     bitmap = materialize(key_bitmap(keys), "bitmap")
-    place, (name,) = _place(), free_names(docs, "bitmap")
-    held = F.call_function("shiftright", F.element_at(name, (F.shiftright(place, 6) + 1).cast("int")), (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    (name,) = free_names(docs, "bitmap")
+    held = _held(F.col(name), _place(F.col("doc_id"), F.col("mark")))
     return docs.crossJoin(F.broadcast(bitmap.withColumnRenamed("bitmap", name))).filter(held).select(docs.columns)
 
 
@@ -60,15 +65,20 @@ def same_key(df: DataFrame, id_col: str, mark_col: str, other: DataFrame, other_
 def keep_keyed(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs without the rows that stand in classes under another key (doc_id, mark) than their class's (keep_id, keep_mark).
 
-    Of rows that repeat both identifier and text of a class's keeper one stays.
+    Of rows that repeat both identifier and text of a class's keeper one stays. A
+    bitmap of fixed size says of most rows that stay that they do: these are not shuffled.
     """
-    mark, its_id, its_mark = free_names(docs, "mark", "its_id", "its_mark")
+    mark, its_id, its_mark, bitmap = free_names(docs, "mark", "its_id", "its_mark", "bitmap")
     keeper = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))
     key = lambda df: df.select(F.col("doc_id").alias(its_id), F.col("mark").alias(its_mark))
-    gone = key(classes.filter(~keeper).select("doc_id", "mark").distinct())
+    keys = materialize(classes.filter(~keeper).select("doc_id", "mark").distinct(), "gone")
+    bits = materialize(key_bitmap(keys), "bitmap").withColumnRenamed("bitmap", bitmap)
+    gone = key(keys)
     twice = materialize(key(classes.filter(keeper).groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), "repeated")
     marked = docs.withColumn(mark, text_mark(F.col(text_col)))
-    rest = marked.join(gone, same_key(marked, id_col, mark, gone, its_id, its_mark), "left_anti")
+    seen = marked.crossJoin(F.broadcast(bits)).withColumn(bitmap, _held(F.col(bitmap), _place(F.col(id_col).cast("long"), F.col(mark))))
+    maybe = seen.filter(F.col(bitmap)).drop(bitmap)
+    rest = seen.filter(~F.col(bitmap)).drop(bitmap).unionByName(maybe.join(gone, same_key(maybe, id_col, mark, gone, its_id, its_mark), "left_anti"))
     if twice.isEmpty():
         return rest.select(docs.columns)
     once = rest.join(twice, same_key(rest, id_col, mark, twice, its_id, its_mark), "left_semi").dropDuplicates([id_col, mark])
