@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import discard, materialize
+from .fitting import assign_nearest, kmeans
 from .graphs import components
 from .neighbors import Cells, Kernel, distances, matrix, nearest, sites, vector_rows
 from .ordering import row_numbers
@@ -545,3 +546,80 @@ def _to_nearest(table: DataFrame, modes: DataFrame) -> DataFrame:
     listed = ", ".join(_number(x) for x in reach)
     found = cells.sweep(housed, centers, f"off + element_at(array({listed}), home + 1)", _Closest, "site long, cluster long")
     return table.join(found, "site").select("v", "cluster")
+
+
+# --- by the graph of neighbours
+
+
+def neighbour_graph(df: DataFrame, key: str, vector: str, n_neighbors: int = 10, affinity: str = "nearest_neighbors", gamma: float = 1.0) -> DataFrame:
+    """i, j, w in both directions: rows of which one is among the other's nearest, and every row with itself.
+
+    w is 1, or exp(-gamma d^2) for affinity rbf, which is cut to the nearest neighbours here.
+    """
+    if affinity not in ("nearest_neighbors", "rbf"):
+        raise ValueError(f"no affinity {affinity}")
+    w = F.exp(-gamma * F.col("d") * F.col("d")) if affinity == "rbf" else F.lit(1.0)
+    near = materialize(nearest(df, key, vector, n_neighbors).select("i", "j", w.alias("w")), "near")
+    own = vector_rows(df, key, vector).select(F.col("_key").alias("i"), F.col("_key").alias("j"), F.lit(1.0).alias("w"))
+    both = near.unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).unionByName(own)
+    return both.groupBy("i", "j").agg(F.max("w").alias("w"))
+
+
+#: Vectors that are carried along; what they take up does not slow the wanted ones down.
+SPARE = 6
+
+
+def leading_vectors(graph: DataFrame, k: int, most_rounds: int = 100, tolerance: float = 1e-6, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """(i, x: array of k numbers; eigenvalues) of the k leading vectors of D^-1/2 W D^-1/2 of a symmetric graph (i, j, w).
+
+    Orthogonal iteration: every round multiplies SPARE vectors more than k by
+    (I + W') / 2 twice, as joins along the edges, and makes them orthonormal again by
+    their products with each other. It ends when the k eigenvalues settle.
+    """
+    wanted, k = k, k + SPARE
+    degree = graph.groupBy("i").agg(F.sum("w").alias("deg"))
+    edges = graph.join(degree, "i").join(degree.select(F.col("i").alias("j"), F.col("deg").alias("deg_j")), "j")
+    edges = materialize(edges.select("i", "j", (F.col("w") / F.sqrt(F.col("deg") * F.col("deg_j"))).alias("w")), "edges")
+    names = [f"x{c}" for c in range(k)]
+    start = [(F.xxhash64("i", F.lit(c), F.lit(seed)) / float(1 << 63)).alias(n) for c, n in enumerate(names)]
+    x = materialize(degree.select("i", *start), "vectors")
+
+    def times(x: DataFrame) -> DataFrame:
+        moved = edges.join(x.withColumnRenamed("i", "j"), "j").groupBy("i").agg(*[F.sum(F.col("w") * F.col(n)).alias(f"_{n}") for n in names])
+        return x.join(moved, "i").select("i", *[((F.col(n) + F.col(f"_{n}")) / 2).alias(n) for n in names])
+
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+
+    def upright(x: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        row = x.agg(*[F.sum(F.col(names[a]) * F.col(names[b])).alias(f"p{a}_{b}") for a, b in pairs]).first()
+        gram = np.array([[row[f"p{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(k)] for a in range(k)])
+        values, turn = np.linalg.eigh(gram)
+        turn = (turn / np.sqrt(np.maximum(values, 1e-12 * values[-1])))[:, ::-1]  # fewer rows than vectors leave some at nothing
+        mixed = [sum((F.col(names[a]) * float(turn[a, c]) for a in range(1, k)), F.col(names[0]) * float(turn[0, c])) for c in range(k)]
+        return x.select("i", *[m.alias(n) for m, n in zip(mixed, names)]), values[::-1]
+
+    x, _ = upright(x)
+    before = None
+    for _ in range(most_rounds):
+        y = materialize(times(times(x)), "vectors")
+        x, squares = upright(y)
+        values = 2 * np.maximum(squares[:wanted], 0) ** 0.25 - 1  # squares are those of ((1 + value) / 2) ** 2
+        if before is not None and np.abs(values - before).max() < tolerance:
+            break
+        before = values
+    return x.select("i", F.array(*names[:wanted]).alias("x")), values
+
+
+def spectral(df: DataFrame, key: str, vector: str, n_clusters: int = 2, affinity: str = "nearest_neighbors", n_neighbors: int = 10, gamma: float = 1.0, most_rounds: int = 100, seed: int = 0) -> DataFrame:
+    """key, cluster of each row: means of the directions that the leading vectors of the neighbour graph give the rows.
+
+    Clusters are numbered from 0 by their smallest key.
+    """
+    found, _ = leading_vectors(neighbour_graph(df, key, vector, n_neighbors, affinity, gamma), n_clusters, most_rounds, seed=seed)
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
+    names = [f"u{c}" for c in range(n_clusters)]
+    ways = materialize(found.select("i", *[(F.get("x", F.lit(c)) / F.when(norm < 1e-10, 1.0).otherwise(norm)).alias(n) for c, n in enumerate(names)]), "directions")
+    named = materialize(assign_nearest(ways, names, kmeans(ways, "i", names, n_clusters, seed=seed), "c").select("i", "c"), "named")
+    first = named.groupBy("c").agg(F.min("i").alias("first"))
+    numbers = first.select("c", (F.row_number().over(Window.orderBy("first")) - 1).alias("cluster"))  # n_clusters rows
+    return named.join(F.broadcast(numbers), "c").select(F.col("i").alias(key), "cluster")

@@ -353,13 +353,7 @@ def mini_batch_kmeans(df: DataFrame, key: str, columns: Sequence[str], k: int, b
     dealt = rows.select(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(batches)).cast("int").alias("_batch"), F.col(key).alias("_key"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)])
     dealt = materialize(dealt, "batches")
     names = [f"_c{i}" for i in range(len(columns))]
-    first = dealt.orderBy(F.xxhash64("_key", F.lit(seed), F.lit("first")), "_key").limit(1).collect()
-    centres = [[r[n] for n in names] for r in first]
-    while centres and len(centres) < k:
-        gap = F.least(*[_square(names, c) for c in centres]) if len(centres) > 1 else _square(names, centres[0])
-        r = dealt.agg(F.max(F.struct(gap.alias("d"), (-F.col("_key")).alias("k"), F.array(*names).alias("v"))).alias("m")).first()["m"]
-        centres.append(list(r["v"]))
-    at = np.array(centres).reshape(-1, len(columns))
+    at = _far_apart(dealt, names, k, seed)
     seen = np.zeros(len(at))
     for _ in range(epochs):
         for b in range(batches):
@@ -377,6 +371,37 @@ def mini_batch_kmeans(df: DataFrame, key: str, columns: Sequence[str], k: int, b
     return at
 
 
+def _far_apart(rows: DataFrame, names: Sequence[str], k: int, seed: int) -> np.ndarray:
+    """The row whose _key hashes lowest, then k - 1 times the row that is furthest from those before."""
+    first = rows.orderBy(F.xxhash64("_key", F.lit(seed), F.lit("first")), "_key").limit(1).collect()
+    centres = [[r[n] for n in names] for r in first]
+    while centres and len(centres) < k:
+        gap = F.least(*[_square(names, c) for c in centres]) if len(centres) > 1 else _square(names, centres[0])
+        r = rows.agg(F.max(F.struct(gap.alias("d"), (-F.col("_key")).alias("k"), F.array(*names).alias("v"))).alias("m")).first()["m"]
+        centres.append(list(r["v"]))
+    return np.array(centres).reshape(-1, len(names))
+
+
+def kmeans(df: DataFrame, key: str, columns: Sequence[str], k: int, most_rounds: int = 100, tolerance: float = 1e-8, seed: int = 0) -> np.ndarray:
+    """Centres that start far apart, as mini_batch_kmeans()'s do, and move to the means of the rows nearest to them until none moves by more than tolerance. A centre that no row is nearest to stays."""
+    rows = numeric(df, columns, key).select(F.col(key).alias("_key"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)])
+    rows, names = materialize(rows, "rows"), [f"_c{i}" for i in range(len(columns))]
+    at = _far_apart(rows, names, k, seed)
+    for _ in range(most_rounds if len(at) else 0):
+
+        def step(x, now=at):
+            one = np.eye(len(now))[((x[:, None] - now[None]) ** 2).sum(axis=2).argmin(axis=1)]
+            return np.concatenate([one.sum(axis=0), (one.T @ x).ravel()])
+
+        total = block_sums(rows.select(*names), step, at.size + len(at))
+        n, sums = total[: len(at), None], total[len(at) :].reshape(at.shape)
+        to = np.where(n > 0, sums / np.maximum(n, 1), at)
+        moved, at = np.abs(to - at).max(), to
+        if moved <= tolerance:
+            break
+    return at
+
+
 def _square(names: Sequence[str], centre: Sequence[float]):
     return reduce(lambda a, b: a + b, [F.pow(F.col(n) - F.lit(float(v)), 2) for n, v in zip(names, centre)])
 

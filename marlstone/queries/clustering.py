@@ -72,3 +72,8 @@ def nearest_neighbours(spark, sf_dir):
 @query()
 def mean_shift_clusters(spark, sf_dir):
     return C.mean_shift(_customers(spark, sf_dir), "c_custkey", "v", 1.2, bin_seeding=True)[0]
+
+
+@query()
+def spectral_clusters(spark, sf_dir):
+    return C.spectral(points(spark, sf_dir), "s_suppkey", "v", 3, n_neighbors=8, most_rounds=12)

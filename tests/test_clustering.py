@@ -167,3 +167,32 @@ def test_knn_impute(spark, block):
                 want[i, c] = mean if np.isnan(r[c]) else r[c]
         got = {(r["k"], c): r[c + 1] for r in X.knn_impute(df, "k", ["a", "b", "c"], 5, weights).collect() for c in range(3)}
         assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("affinity", ["nearest_neighbors", "rbf"])
+def test_neighbour_graph(df, affinity):
+    d = all_distances()
+    want = np.eye(len(KEYS))
+    for i in range(len(KEYS)):
+        for j in sorted((j for j in range(len(KEYS)) if j != i), key=lambda j: (d[i, j], KEYS[j]))[:5]:
+            want[i, j] = want[j, i] = 1.0 if affinity == "nearest_neighbors" else np.exp(-0.5 * d[i, j] ** 2)
+    at = {k: i for i, k in enumerate(KEYS)}
+    graph = {(at[r["i"]], at[r["j"]]): r["w"] for r in C.neighbour_graph(df, "k", "v", 5, affinity, 0.5).collect()}
+    assert graph == pytest.approx({(i, j): want[i, j] for i in range(len(KEYS)) for j in range(len(KEYS)) if want[i, j]})
+
+
+def test_spectral(spark):
+    angle = np.arange(40) * 2 * np.pi / 20
+    ring = np.where(np.arange(40) < 20, 1.0, 4.0)[:, None] * np.stack([np.cos(angle), np.sin(angle)], axis=1)  # rings that no means separate
+    df = spark.createDataFrame([(3 * i, [float(x) for x in p]) for i, p in enumerate(ring)], "k long, v array<double>").repartition(2)
+    d = np.sqrt(((ring[:, None] - ring[None]) ** 2).sum(-1))
+    w = np.eye(40)
+    for i in range(40):
+        for j in sorted((j for j in range(40) if j != i), key=lambda j: (round(d[i, j], 9), j))[:4]:
+            w[i, j] = w[j, i] = 1.0
+    scale = 1 / np.sqrt(w.sum(1))
+    graph = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(40) for j in range(40) if w[i, j]], "i long, j long, w double")
+    _, values = C.leading_vectors(graph, 2, 12)
+    assert values == pytest.approx(np.linalg.eigvalsh(w * scale[:, None] * scale[None])[::-1][:2], abs=1e-3)
+    got = {r["k"] // 3: r["cluster"] for r in C.spectral(df, "k", "v", 2, n_neighbors=4, most_rounds=12).collect()}
+    assert got == {i: int(i >= 20) for i in range(40)}
