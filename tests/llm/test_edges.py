@@ -163,18 +163,26 @@ def test_directions_of_large_and_small_vectors(spark):
     assert got == Counter([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (None, 1, 6, False), (6, 2, 6, True), (None, 2, 6, False), (8, 1, 6, False), (None, 0, None, True), (None, 0, None, True), (9, 0, 9, True)])
 
 
-def test_recall_of_the_production_setting(spark, sf_dir):
-    vectors = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/embeddings.parquet")
-    rows = vectors.collect()
-    unit = [np.array(r["embedding"], float) / np.linalg.norm(np.array(r["embedding"], float)) if r["embedding"] and any(r["embedding"]) else None for r in rows]
-    n = Counter()
-    for a in range(len(rows)):
-        for b in range(a):
-            if unit[a] is not None and unit[b] is not None and rows[a]["label"] is not None and rows[a]["label"] == rows[b]["label"] and unit[a] @ unit[b] >= 0.93:
-                n[a] += 1
-                n[b] += 1
-    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_dedup(vectors).collect()}
-    assert all(got[rows[k]["vec_id"]] <= n[k] for k in range(len(rows))) and sum(got.values()) >= 0.99 * sum(n.values())
+@pytest.mark.parametrize("planned_for", [10**6, 10**8])
+def test_recall_of_the_production_setting(spark, monkeypatch, planned_for):
+    bits, tables = embedding_dedup.plan_tables(planned_for)
+    assert bits >= 12
+    monkeypatch.setattr(embedding_dedup, "plan_tables", lambda n, *_: (bits, tables))
+    rng = np.random.default_rng(12)
+    first = rng.normal(size=(1500, 64))
+    first /= np.linalg.norm(first, axis=1)[:, None]
+    away = rng.normal(size=first.shape)
+    away -= (away * first).sum(axis=1)[:, None] * first
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    cosine = rng.uniform(0.9301, 0.94, 1500)[:, None]
+    unit = np.concatenate([first, cosine * first + np.sqrt(1 - cosine**2) * away])
+    label = np.tile(rng.integers(0, 5, 1500), 2)
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None])
+    links = near.sum(axis=1) - 1
+    assert links.sum() >= 3000
+    table = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(unit, label))], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_dedup(table.repartition(4)).collect()}
+    assert all(got[i] <= links[i] for i in got) and sum(got.values()) >= 0.99 * links.sum()
 
 
 def mix_by_hand(spark, rows, seed=17):
