@@ -60,8 +60,9 @@ def block_sums(rows: DataFrame, step: Callable[[np.ndarray], np.ndarray], size:
     return out
 
 
-def with_values(df: DataFrame, columns: Sequence[str], function: Callable[[np.ndarray], np.ndarray], alias: str) -> DataFrame:
-    """df with a double that function makes of blocks of its columns; null for rows with a gap."""
+def with_values(df: DataFrame, columns: Sequence[str], function: Callable[[np.ndarray], np.ndarray], alias: str | Sequence[str]) -> DataFrame:
+    """df with a double that function makes of blocks of its columns, or one for each name of a list; null for rows with a gap."""
+    aliases = [alias] if isinstance(alias, str) else list(alias)
     x = free_name(df, "_x")
     packed = df.withColumn(x, F.array(*[F.coalesce(present(df, c).cast("double"), F.lit(float("nan"))) for c in columns]))
     at, width, names = packed.columns.index(x), len(columns), df.columns
@@ -75,14 +76,14 @@ def with_values(df: DataFrame, columns: Sequence[str], function: Callable[[np.nd
                 some = b.slice(a, 4096)
                 v = some.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
                 good = ~np.isnan(v).any(axis=1)
-                out = np.zeros(len(v))
+                out = np.zeros((len(v), len(aliases)))
                 if good.any():
-                    out[good] = function(v[good])
+                    out[good] = function(v[good]).reshape(-1, len(aliases))
                 columns_ = [c for k, c in enumerate(some.columns) if k != at]
-                yield pa.RecordBatch.from_arrays([*columns_, pa.array(out, mask=~good)], [*names, alias])
+                yield pa.RecordBatch.from_arrays([*columns_, *[pa.array(out[:, k], mask=~good) for k in range(len(aliases))]], [*names, *aliases])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return packed.mapInArrow(run, f"{schema}, `{alias}` double")
+    return packed.mapInArrow(run, ", ".join([schema, *[f"`{a}` double" for a in aliases]]))
 
 
 # --- kernels as features
