@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import forecasting as P
 from ..operators import timeseries as T
 from .registry import query, table
 
@@ -66,3 +67,41 @@ def linear_trend(spark, sf_dir):
 @query(f"WITH {DAILY} SELECT DISTINCT t, round(sin(2 * pi() * t / 7), 6) AS sin1, round(cos(2 * pi() * t / 7), 6) AS cos1, round(sin(4 * pi() * t / 7), 6) AS sin2, round(cos(4 * pi() * t / 7), 6) AS cos2 FROM s")
 def fourier_features(spark, sf_dir):
     return rounded(T.fourier_features(daily(spark, sf_dir).select("t").distinct(), "t", 7.0, 2), "sin1", "cos1", "sin2", "cos2")
+
+
+_SETTINGS = "g AS (SELECT a.v AS alpha, b.v AS beta, c.v AS gamma FROM (SELECT unnest([0.2, 0.5]::DOUBLE[]) AS v) a, (SELECT unnest([0.1, 0.3]::DOUBLE[]) AS v) b, (SELECT unnest([0.1, 0.3]::DOUBLE[]) AS v) c)"
+
+
+@query(f"""WITH RECURSIVE {DAILY}, o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS c FROM s), {_SETTINGS},
+f AS (SELECT event_type, avg(y) FILTER (WHERE k < 7) AS m, list(y ORDER BY k) FILTER (WHERE k < 7) AS head, max(y) FILTER (WHERE k = 7) - max(y) FILTER (WHERE k = 0) AS rise FROM o GROUP BY 1),
+r AS (SELECT event_type, alpha, beta, gamma, 0::BIGINT AS k, m AS level, rise / 7 AS trend, list_transform(head, lambda h: h - m) AS season, 0.0::DOUBLE AS sse FROM f, g
+UNION ALL SELECT event_type, alpha, beta, gamma, k + 1, CASE WHEN k + 1 = c THEN level ELSE fresh END, CASE WHEN k + 1 = c THEN trend ELSE beta * (fresh - level) + (1 - beta) * trend END,
+CASE WHEN k + 1 = c THEN season ELSE list_transform(season, lambda v, i: CASE WHEN i = k % 7 + 1 THEN gamma * (y - fresh) + (1 - gamma) * v ELSE v END) END, sse + pow(y - level - trend - season[k % 7 + 1], 2)
+FROM (SELECT r.*, o.y, o.c, alpha * (o.y - season[r.k % 7 + 1]) + (1 - alpha) * (level + trend) AS fresh FROM r JOIN o ON o.event_type = r.event_type AND o.k = r.k)),
+e AS (SELECT r.*, row_number() OVER (PARTITION BY r.event_type ORDER BY sse, alpha, beta, gamma) AS place FROM r JOIN (SELECT event_type, max(c) AS c FROM o GROUP BY 1) l ON l.event_type = r.event_type AND l.c = r.k)
+SELECT event_type, alpha, beta, gamma, round(sse / k, 4) AS mse, h, round(level + h * trend + season[(k + h - 1) % 7 + 1], 4) AS forecast FROM e, (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9])::INT AS h) WHERE place = 1""")
+def seasonal_forecast(spark, sf_dir):
+    """Nine days ahead, weeks as seasons, with the settings that fit best."""
+    found = P.holt_winters(daily(spark, sf_dir), ["event_type"], "t", "y", 9, 7, (0.2, 0.5), (0.1, 0.3), (0.1, 0.3))
+    ahead = found.select("event_type", "alpha", "beta", "gamma", F.round("mse", 4).alias("mse"), F.posexplode("forecast").alias("h", "forecast"))
+    return ahead.withColumns({"h": F.col("h") + 1, "forecast": F.round("forecast", 4)})
+
+
+@query(f"""WITH {DAILY}, z AS (SELECT *, y - lag(y) OVER (PARTITION BY event_type ORDER BY t) AS z FROM s), x AS (SELECT *, lag(z) OVER (PARTITION BY event_type ORDER BY t) AS x FROM z),
+f AS (SELECT event_type, sum(x * z) / (sum(x * x) + 1e-6) AS a, avg(z) - sum(x * z) / (sum(x * x) + 1e-6) * avg(x) AS c FROM x WHERE x IS NOT NULL GROUP BY 1),
+r AS (SELECT x.event_type, t, y, z, a, c, z - c - a * x AS r, lag(z - c - a * x) OVER (PARTITION BY x.event_type ORDER BY t) AS before FROM x JOIN f ON x.event_type = f.event_type WHERE x IS NOT NULL),
+e AS (SELECT event_type, any_value(a) AS a, any_value(c) AS c, var_pop(r) AS s, greatest(-0.99, least(0.99, avg(r * before) / (var_pop(r) + 1e-10))) AS m, arg_max(y, t) AS y0, arg_max(z, t) AS z0, arg_max(r, t) AS r0 FROM r GROUP BY 1),
+h AS (SELECT *, c + a * z0 + m * r0 AS z1 FROM e), i AS (SELECT *, c + a * z1 AS z2, c + a * (c + a * z1) AS z3 FROM h),
+o AS (SELECT event_type, a, m, s, unnest([1, 2, 3])::INT AS h, unnest([y0 + z1, y0 + z1 + z2, y0 + z1 + z2 + z3]) AS forecast FROM i)
+SELECT event_type, round(a, 6) AS coefficient, round(m, 6) AS moving, h, round(forecast, 4) AS forecast, round(forecast - 1.96::DOUBLE * sqrt(s * h), 4) AS lower, round(forecast + 1.96::DOUBLE * sqrt(s * h), 4) AS upper FROM o""")
+def arima_forecast(spark, sf_dir):
+    found = P.arima(daily(spark, sf_dir), ["event_type"], "t", "y", 3)
+    each = F.posexplode(F.arrays_zip("forecast", "lower", "upper")).alias("h", "v")
+    ahead = found.select("event_type", F.round(F.col("coefficients")[0], 6).alias("coefficient"), F.round(F.col("moving")[0], 6).alias("moving"), each)
+    return ahead.select("event_type", "coefficient", "moving", (F.col("h") + 1).alias("h"), *[F.round(F.col("v")[c], 4).alias(c) for c in ("forecast", "lower", "upper")])
+
+
+@query()
+def seasonal_arima(spark, sf_dir):
+    """Two lags after weekly differences, nine days ahead."""
+    return P.arima(daily(spark, sf_dir), ["event_type"], "t", "y", 9, 2, 0, 1, 1, 7)
