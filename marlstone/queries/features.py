@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import expressions as E
 from ..operators import features as X
 from .registry import query, table
 
@@ -156,9 +157,24 @@ def quantile_transform(spark, sf_dir):
     return rounded(X.QuantileTransformer(["s_acctbal"], 5).fit_transform(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")), "s_acctbal")
 
 
-@query()
+def _polynomial_sql(x: str, coefficients) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def _normal_sql(p: str) -> str:
+    tail = lambda q: f"({_polynomial_sql(q, E.PPF_C)} / {_polynomial_sql(q, [*E.PPF_D, 1.0])})"
+    middle = f"({_polynomial_sql('r', E.PPF_A)} * ({p} - 0.5) / {_polynomial_sql('r', [*E.PPF_B, 1.0])})"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail('lo')} WHEN {p} > 1 - 0.02425 THEN -{tail('hi')} ELSE {middle} END"
+
+
+@query(f"""WITH q AS (SELECT quantile_cont(s_acctbal, [0, 0.25, 0.5, 0.75, 1]) AS q FROM supplier), k AS (SELECT s_suppkey, s_acctbal, q, len(list_filter(q, lambda x: x <= s_acctbal)) AS k FROM supplier, q),
+u AS (SELECT s_suppkey, greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, CASE WHEN k >= 5 THEN 1 ELSE (k - 1) * 0.25 + (s_acctbal - q[k]) * 0.25 / (q[k + 1] - q[k]) END::DOUBLE)) AS p FROM k),
+v AS (SELECT *, pow(p - 0.5, 2) AS r, sqrt(-2 * ln(p)) AS lo, sqrt(-2 * ln(1 - p)) AS hi FROM u) SELECT s_suppkey, round({_normal_sql('p')}, 6) AS s_acctbal FROM v""")
 def quantile_transform_normal(spark, sf_dir):
-    return X.QuantileTransformer(["s_acctbal"], 5, "normal").fit_transform(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"))
+    return rounded(X.QuantileTransformer(["s_acctbal"], 5, "normal").fit_transform(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")), "s_acctbal")
 
 
 def _imputed(fill: str) -> str:

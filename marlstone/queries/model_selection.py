@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import model_selection as S
 from .registry import query, table
+from .timeseries import cramer
 
 COLUMNS = ["l_quantity", "l_discount", "l_tax"]
 
@@ -41,14 +42,21 @@ def leave_one_out(spark, sf_dir):
     return S.leave_one_out(table(spark, sf_dir, "supplier").select("s_suppkey"), ["s_suppkey"])
 
 
-@query()
+_MOMENTS = "m AS (SELECT " + ", ".join([f"covar_pop({x}, {y}) AS x{i}{j}" for i, x in enumerate(COLUMNS, 1) for j, y in enumerate(COLUMNS, 1) if i <= j] + [f"covar_pop({x}, l_extendedprice) AS y{i}" for i, x in enumerate(COLUMNS, 1)]) + " FROM lineitem)"
+_ALL = "a AS (" + " UNION ALL ".join(f"SELECT {k} AS k, abs({b}) * sqrt(x{k}{k}) AS v FROM m" for k, b in enumerate(cramer({ij: f"x{ij}" for ij in ("11", "12", "13", "22", "23", "33")}, ("y1", "y2", "y3")), 1)) + ")"
+_PAIRS = "p AS (" + " UNION ALL ".join(f"SELECT {6 - i - j} AS without, {i} AS k, abs((y{i} * x{j}{j} - y{j} * x{min(i, j)}{max(i, j)}) / (x{i}{i} * x{j}{j} - pow(x{min(i, j)}{max(i, j)}, 2))) * sqrt(x{i}{i}) AS v FROM m" for i in (1, 2, 3) for j in (1, 2, 3) if i != j) + ")"
+_NAMED = f"(SELECT unnest({COLUMNS}) AS feature, unnest([1, 2, 3]) AS k)"
+
+
+@query(f"""WITH {_MOMENTS}, {_ALL}, {_PAIRS}, w AS (SELECT arg_min(k, v) AS k FROM a), s AS (SELECT arg_min(p.k, v) AS k FROM p, w WHERE without = w.k)
+SELECT feature, (CASE WHEN n.k = w.k THEN 3 WHEN n.k = s.k THEN 2 ELSE 1 END)::INT AS rank FROM {_NAMED} n, w, s""")
 def linear_feature_elimination(spark, sf_dir):
     return S.recursive_elimination(lines(spark, sf_dir), COLUMNS, "l_extendedprice", 1)
 
 
-@query()
+@query(f"WITH {_MOMENTS}, {_ALL} SELECT feature, round(v, 4) AS importance FROM a JOIN {_NAMED} n ON a.k = n.k WHERE v >= (SELECT avg(v) FROM a)")
 def select_from_linear_model(spark, sf_dir):
-    return S.select_from_model(lines(spark, sf_dir), COLUMNS, "l_extendedprice")
+    return S.select_from_model(lines(spark, sf_dir), COLUMNS, "l_extendedprice").withColumn("importance", F.round("importance", 4))
 
 
 @query("SELECT p_partkey, round(ln(1 + p_retailprice), 6) AS p_retailprice, p_size * 2 AS p_size FROM part")

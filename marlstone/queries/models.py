@@ -32,11 +32,18 @@ def lasso_regression(spark, sf_dir):
     return spark.createDataFrame([(round(b["l_quantity"], 4),)], "slope double")
 
 
-@query()
+def _descent_sql(rate: float, steps: int) -> str:
+    parts = ["r AS (SELECT l_quantity / 50 AS q, l_discount AS d, (l_returnflag = 'R')::DOUBLE AS y FROM lineitem)", "w0 AS (SELECT 0.0::DOUBLE AS wi, 0.0::DOUBLE AS wq, 0.0::DOUBLE AS wd)"]
+    for k in range(steps):
+        parts.append(f"w{k + 1} AS (SELECT any_value(wi) - {rate}::DOUBLE * avg(e) AS wi, any_value(wq) - {rate}::DOUBLE * avg(e * q) AS wq, any_value(wd) - {rate}::DOUBLE * avg(e * d) AS wd FROM (SELECT *, 1 / (1 + exp(-(wi + wq * q + wd * d))) - y AS e FROM r, w{k}))")
+    return f"WITH {', '.join(parts)} SELECT unnest(['intercept', 'q', 'l_discount']) AS term, unnest([round(wi, 8), round(wq, 8), round(wd, 8)]) AS weight FROM w{steps}"
+
+
+@query(_descent_sql(0.5, 5))
 def logistic_gradient_descent(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("q"), F.col("l_discount"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
     w = M.logistic_gradient_descent(rows, ["q", "l_discount"], "y", 0.5, 5)
-    return spark.createDataFrame(list(w.items()), "term string, weight double")
+    return spark.createDataFrame([(k, round(v, 8)) for k, v in w.items()], "term string, weight double")
 
 
 @query("""SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS l_quantity_mean, round(var_pop(l_quantity), 6) AS l_quantity_var, round(avg(l_discount), 6) AS l_discount_mean, round(var_pop(l_discount), 6) AS l_discount_var,
@@ -80,10 +87,22 @@ def pca_covariance(spark, sf_dir):
     return rounded(M.pca_covariance(table(spark, sf_dir, "lineitem"), _COV), "cov")
 
 
-@query()
+def _eigenvalues_sql() -> str:
+    """The greatest root of the characteristic polynomial by Newton steps from above, then those of the quadratic that is left."""
+    a = [f"covar_samp({x}, {y}) AS c{i}{j}" for i, x in enumerate(_COV) for j, y in enumerate(_COV) if i <= j]
+    parts = [f"c AS (SELECT {', '.join(a)} FROM lineitem)"]
+    parts.append("p AS (SELECT c00 + c11 + c22 AS t, c00 * c11 + c00 * c22 + c11 * c22 - c01 * c01 - c02 * c02 - c12 * c12 AS m, c00 * (c11 * c22 - c12 * c12) - c01 * (c01 * c22 - c12 * c02) + c02 * (c01 * c12 - c11 * c02) AS d FROM c)")
+    parts.append("x0 AS (SELECT *, t AS x FROM p)")
+    for k in range(8):
+        parts.append(f"x{k + 1} AS (SELECT t, m, d, x - (((x - t) * x + m) * x - d) / ((3 * x - 2 * t) * x + m) AS x FROM x{k})")
+    parts.append("e AS (SELECT x, ((t - x) + sqrt(greatest(0, pow(t - x, 2) - 4 * d / x))) / 2 AS y FROM x8)")
+    return f"WITH {', '.join(parts)} SELECT unnest([0, 1])::INT AS component, unnest([round(x, 6), round(y, 6)]) AS variance FROM e"
+
+
+@query(_eigenvalues_sql())
 def pca_explained(spark, sf_dir):
     values, _ = M.pca(table(spark, sf_dir, "lineitem"), _COV, 2)
-    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "component int, variance double")
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(values)], "component int, variance double")
 
 
 @query("SELECT p_partkey, (CASE WHEN a = b OR a = c THEN a WHEN b = c THEN b ELSE least(a, b, c) END)::INT AS vote, round((a + 2 * b + c) / 4, 6) AS soft FROM (SELECT p_partkey, p_size % 3 AS a, p_partkey % 3 AS b, p_size % 2 AS c FROM part)")
@@ -125,7 +144,11 @@ def elastic_net_regression(spark, sf_dir):
     return spark.createDataFrame([(round(b["l_quantity"], 4),)], "slope double")
 
 
-@query()
+@query("""WITH g AS (SELECT p_size AS x, sum(p_retailprice) AS y, count(*) AS n FROM part GROUP BY 1),
+r AS (SELECT a.x AS lo, b.x AS hi, sum(c.y) / sum(c.n) AS mean FROM g a JOIN g b ON a.x <= b.x JOIN g c ON c.x BETWEEN a.x AND b.x GROUP BY 1, 2),
+m AS (SELECT g.x, r.lo, min(r.mean) AS least FROM g JOIN r ON r.lo <= g.x AND r.hi >= g.x GROUP BY 1, 2), f AS (SELECT x, max(least) AS fitted FROM m GROUP BY 1)
+SELECT p_partkey, round(fitted, 4) AS fitted FROM part JOIN f ON p_size = x""")
 def isotonic_regression(spark, sf_dir):
+    """The SQL is the max-min formula: of the blocks that begin at or before a size, the greatest of their least means."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), "p_retailprice")
-    return M.isotonic(rows, "size", "p_retailprice").select("p_partkey", "fitted")
+    return M.isotonic(rows, "size", "p_retailprice").select("p_partkey", F.round("fitted", 4).alias("fitted"))

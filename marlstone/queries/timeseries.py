@@ -16,6 +16,14 @@ def daily(spark, sf_dir):
 DAILY = "s AS (SELECT event_type, date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS t, sum(value) AS y FROM events GROUP BY 1, 2)"
 
 
+def cramer(a: dict[str, str], y: tuple[str, str, str]) -> list[str]:
+    """SQL of the solution of three symmetric equations; a names the entries 11, 12, 13, 22, 23, 33."""
+    m = [[a[f"{min(i, j)}{max(i, j)}"] for j in (1, 2, 3)] for i in (1, 2, 3)]
+    put = lambda k: [[y[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]
+    det = lambda b: "(" + " + ".join(f"({b[0][i]}) * (({b[1][j]}) * ({b[2][k]}) - ({b[1][k]}) * ({b[2][j]}))" for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1))) + ")"
+    return [f"{det(put(k))} / {det(m)}" for k in range(3)]
+
+
 def rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -42,9 +50,16 @@ def ar1_fit(spark, sf_dir):
     return out.select("event_type", F.round(F.col("coefficients")[0], 6).alias("coefficient"), F.round("intercept", 4).alias("intercept"))
 
 
-@query()
+_AR3 = cramer({"11": "x11", "12": "x12", "13": "x13", "22": "x22", "23": "x23", "33": "x33"}, ("y1", "y2", "y3"))
+
+
+@query(f"""WITH {DAILY}, l AS (SELECT event_type, y, lag(y, 1) OVER w AS a, lag(y, 2) OVER w AS b, lag(y, 3) OVER w AS c FROM s WINDOW w AS (PARTITION BY event_type ORDER BY t)),
+m AS (SELECT event_type, sum(a * a) + 1e-6 AS x11, sum(a * b) AS x12, sum(a * c) AS x13, sum(b * b) + 1e-6 AS x22, sum(b * c) AS x23, sum(c * c) + 1e-6 AS x33, sum(a * y) AS y1, sum(b * y) AS y2, sum(c * y) AS y3, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc FROM l WHERE c IS NOT NULL GROUP BY 1),
+f AS (SELECT *, {', '.join(f'{x} AS c{k}' for k, x in enumerate(_AR3, 1))} FROM m)
+SELECT event_type, round(c1, 6) AS lag1, round(c2, 6) AS lag2, round(c3, 6) AS lag3, round(my - c1 * ma - c2 * mb - c3 * mc, 4) AS intercept FROM f""")
 def ar3_fit(spark, sf_dir):
-    return T.autoregression(daily(spark, sf_dir), ["event_type"], "t", "y", 3)
+    out = T.autoregression(daily(spark, sf_dir), ["event_type"], "t", "y", 3)
+    return out.select("event_type", *[F.round(F.col("coefficients")[k], 6).alias(f"lag{k + 1}") for k in range(3)], F.round("intercept", 4).alias("intercept"))
 
 
 @query(f"""WITH RECURSIVE {DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t) AS k, count(*) OVER (PARTITION BY event_type) AS c FROM s),
@@ -54,9 +69,13 @@ def exp_smoothing(spark, sf_dir):
     return T.series(daily(spark, sf_dir), ["event_type"], "t", "y").select("event_type", F.round(T.simple_smoothing(F.col("ys"), 0.3), 6).alias("level"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t) AS k, count(*) OVER (PARTITION BY event_type) AS c, lead(y) OVER (PARTITION BY event_type ORDER BY t) - y AS rise FROM s),
+r AS (SELECT event_type, k, y AS level, rise AS trend FROM n WHERE k = 1 UNION ALL SELECT event_type, k, fresh, 0.1 * (fresh - level) + 0.9 * trend FROM (SELECT n.event_type, n.k, r.level, r.trend, 0.3 * n.y + 0.7 * (r.level + r.trend) AS fresh FROM r JOIN n ON n.event_type = r.event_type AND n.k = r.k + 1 WHERE n.k < n.c)),
+e AS (SELECT event_type, arg_max(level, k) AS level, arg_max(trend, k) AS trend FROM r GROUP BY 1)
+SELECT event_type, h, round(level + h * trend, 4) AS forecast FROM e, (SELECT unnest([1, 2, 3, 4, 5, 6, 7])::INT AS h)""")
 def holt_forecast(spark, sf_dir):
-    return T.series(daily(spark, sf_dir), ["event_type"], "t", "y").select("event_type", T.holt_forecast(F.col("ys"), 0.3, 0.1, 7).alias("forecast"))
+    found = T.series(daily(spark, sf_dir), ["event_type"], "t", "y").select("event_type", F.posexplode(T.holt_forecast(F.col("ys"), 0.3, 0.1, 7)).alias("h", "forecast"))
+    return found.withColumns({"h": F.col("h") + 1, "forecast": F.round("forecast", 4)})
 
 
 @query(f"WITH {DAILY} SELECT event_type, round(regr_slope(y, t), 6) AS slope, round(regr_intercept(y, t), 6) AS intercept FROM s GROUP BY 1")
