@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clip, dot
+from .ordering import running_sums
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
@@ -36,19 +37,14 @@ def classification_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Area under the ROC curve with ties merged: scores are counted first, so the running sums go over distinct scores.
+    """Area under the ROC curve with ties merged; rows without a score are left out.
 
-    Ranks of distinct scores are taken within score buckets, whose totals are offsets.
+    Scores are counted first, and running sums go over range partitions of the distinct
+    ones, so neither ties nor crowded scores meet in one task.
     """
-    counts = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) != 1).alias("n"))
-    low = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / 1024
-    bucketed = counts.crossJoin(F.broadcast(low)).withColumn("b", F.when(width > 0, F.floor((F.col("s") - F.col("_lo")) / width)).otherwise(0))
-    before = F.sum("n").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    sums = bucketed.groupBy("b").agg(F.sum("n").alias("bn"))
-    offsets = sums.select("b", F.coalesce(F.sum("bn").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    ranked = bucketed.withColumn("below", F.coalesce(before, F.lit(0))).join(F.broadcast(offsets), "b")
-    area = F.sum(F.col("p") * (F.col("offset") + F.col("below") + F.col("n") / 2))
+    counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) != 1).alias("n"))
+    ranked = running_sums(counts, ["s"], {"below": F.col("n")})
+    area = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
     return ranked.agg(F.try_divide(area.cast("double"), F.sum("p") * F.sum("n")).alias("auc"))
 
 

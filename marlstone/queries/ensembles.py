@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ensembles as E
 from ..operators import features as X
 from ..operators import privacy as P
+from .privacy import SEED, laplace_sql
 from .registry import query, table
 
 
@@ -221,7 +222,8 @@ def dp_training_clipped(spark, sf_dir):
     return spark.createDataFrame([(round(w[0], 6), round(w[1], 6))], "intercept double, slope double")
 
 
-@query()
+@query(f"""SELECT s_suppkey, round(s_acctbal * least(1.0::DOUBLE, coalesce(5000.0::DOUBLE / nullif(abs(s_acctbal), 0), 1.0)) + {laplace_sql("'rows|s_acctbal|' || s_suppkey", '10000.0::DOUBLE')}, 4) AS s_acctbal, round(s_nationkey + {laplace_sql("'labels|y|' || s_suppkey", '2.0::DOUBLE')}, 6) AS y FROM supplier""")
 def dp_noisy_dataset(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("y"))
-    return P.private_dataset(rows, "s_suppkey", ["s_acctbal"], "y", 5000.0, 1.0)
+    out = P.private_dataset(rows, "s_suppkey", ["s_acctbal"], "y", 5000.0, 1.0, seed=SEED)
+    return out.withColumns({"s_acctbal": F.round("s_acctbal", 4), "y": F.round("y", 6)})

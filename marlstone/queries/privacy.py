@@ -12,15 +12,25 @@ def rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+#: The seed of registered queries is public, so that SQL can follow; a release takes a secret one.
+SEED = "published"
+
+
+def laplace_sql(key: str, scale: str) -> str:
+    u = f"((('0x' || substr(sha256('{SEED}|' || {key}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE - 0.5)"
+    return f"(-({scale}) * sign({u}) * ln(1 - 2 * abs({u})))"
+
+
 @query("""WITH f AS (SELECT l_quantity, l_discount, least(1, 30 / sqrt(l_quantity * l_quantity + l_discount * l_discount)) AS k FROM lineitem)
 SELECT round(avg(l_quantity * k), 6) AS l_quantity, round(avg(l_discount * k), 6) AS l_discount FROM f""")
 def dp_clip_mean(spark, sf_dir):
     return rounded(P.private_mean(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], 30.0, 1.0, noise=False), "l_quantity", "l_discount")
 
 
-@query()
+@query(f"""WITH f AS (SELECT l_quantity, l_discount, least(1, 30 / sqrt(l_quantity * l_quantity + l_discount * l_discount)) AS k FROM lineitem), m AS (SELECT count(*) AS n, avg(l_quantity * k) AS q, avg(l_discount * k) AS d FROM f)
+SELECT round(q + {laplace_sql("'mean|l_quantity'", '30.0::DOUBLE / n')}, 6) AS l_quantity, round(d + {laplace_sql("'mean|l_discount'", '30.0::DOUBLE / n')}, 6) AS l_discount FROM m""")
 def dp_noisy_mean(spark, sf_dir):
-    return P.private_mean(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], 30.0, 1.0)
+    return rounded(P.private_mean(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], 30.0, 1.0, SEED), "l_quantity", "l_discount")
 
 
 @query("""WITH h AS (SELECT least(11, floor((value + 20) / 15))::INT AS bin FROM events WHERE value BETWEEN -20 AND 160)
@@ -29,14 +39,16 @@ def dp_histogram(spark, sf_dir):
     return P.private_histogram(table(spark, sf_dir, "events"), "value", -20.0, 160.0, 12, 1.0, noise=False)
 
 
-@query()
+@query(f"""WITH h AS (SELECT least(11, floor((value + 20) / 15))::INT AS bin FROM events WHERE value BETWEEN -20 AND 160), n AS (SELECT s.bin, count(h.bin)::DOUBLE AS n FROM (SELECT unnest(range(12))::INT AS bin) s LEFT JOIN h ON h.bin = s.bin GROUP BY 1)
+SELECT bin, round(greatest(0.0::DOUBLE, n + {laplace_sql("'histogram|' || bin", '2.0::DOUBLE')}), 6) AS n FROM n""")
 def dp_noisy_histogram(spark, sf_dir):
-    return P.private_histogram(table(spark, sf_dir, "events"), "value", -20.0, 160.0, 12, 0.5)
+    return rounded(P.private_histogram(table(spark, sf_dir, "events"), "value", -20.0, 160.0, 12, 0.5, SEED), "n")
 
 
-@query()
+@query(f"""SELECT s_suppkey, round(s_acctbal * least(1.0::DOUBLE, coalesce(5000.0::DOUBLE / nullif(abs(s_acctbal), 0), 1.0)) + {laplace_sql("'rows|s_acctbal|' || s_suppkey", '5000.0::DOUBLE')}, 4) AS s_acctbal FROM supplier""")
 def dp_noisy_rows(spark, sf_dir):
-    return P.private_rows(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey", ["s_acctbal"], 5000.0, 1.0)
+    out = P.private_rows(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey", ["s_acctbal"], 5000.0, 1.0, SEED)
+    return out.withColumn("s_acctbal", F.round("s_acctbal", 4))
 
 
 @query("SELECT p_brand FROM (SELECT p_brand, count(*)::DOUBLE AS u FROM part GROUP BY 1) ORDER BY u DESC, p_brand DESC LIMIT 1")

@@ -159,15 +159,37 @@ def schema_infer(spark, sf_dir):
     return V.infer_schema(table(spark, sf_dir, "supplier"))
 
 
-@query("""SELECT 'no_missing' AS "check", count(*) FILTER (WHERE c_name IS NULL) = 0 AS passed FROM customer UNION ALL SELECT 'finite', true
-UNION ALL SELECT 'positive_mean', avg(c_acctbal) > 0 FROM customer UNION ALL SELECT 'no_duplicates', true""")
+def _dataset_sql(rows: str, value: str, key: str) -> str:
+    return f"""SELECT 'no_missing' AS "check", count(*) FILTER (WHERE {key} IS NULL OR {value} IS NULL) = 0 AS passed FROM {rows} UNION ALL SELECT 'finite', count(*) FILTER (WHERE isnan({value}) OR isinf({value})) = 0 FROM {rows}
+UNION ALL SELECT 'positive_mean', avg({value}) > 0 FROM {rows} UNION ALL SELECT 'no_duplicates', (SELECT count(*) FROM {rows}) = (SELECT count(*) FROM (SELECT DISTINCT * FROM {rows}))"""
+
+
+@query(_dataset_sql("(SELECT * FROM customer)", "c_acctbal", "c_name"))
 def dataset_checks(spark, sf_dir):
     return V.dataset_checks(table(spark, sf_dir, "customer"), custom_checks={"positive_mean": F.avg("c_acctbal") > 0})
 
 
-@query("""SELECT c AS "column", 0::BIGINT AS n_nan, 0::BIGINT AS n_inf, false AS is_constant FROM (VALUES ('l_quantity'), ('l_discount')) t(c)""")
+def spoilt(column: str, spoiler: str):
+    """A column with NaN where another is 3, plus infinity where it is 4, minus infinity where it is 5; _spoilt_sql is the same."""
+    at = F.col(spoiler)
+    return F.when(at == 3, float("nan")).when(at == 4, float("inf")).when(at == 5, float("-inf")).otherwise(F.col(column)).alias(column)
+
+
+def _spoilt_sql(column: str, spoiler: str) -> str:
+    return f"CASE {spoiler} WHEN 3 THEN 'nan'::DOUBLE WHEN 4 THEN 'inf'::DOUBLE WHEN 5 THEN '-inf'::DOUBLE ELSE {column} END AS {column}"
+
+
+@query(_dataset_sql(f"(SELECT c_mktsegment, {_spoilt_sql('c_nationkey', 'c_nationkey')} FROM customer WHERE c_nationkey <> 3 AND c_nationkey <> 5)", "c_nationkey", "c_mktsegment"))
+def dataset_checks_broken(spark, sf_dir):
+    """Segments and nations, with repeats and infinities."""
+    rows = table(spark, sf_dir, "customer").filter("c_nationkey <> 3 AND c_nationkey <> 5").select("c_mktsegment", spoilt("c_nationkey", "c_nationkey"))
+    return V.dataset_checks(rows, custom_checks={"positive_mean": F.avg("c_nationkey") > 0})
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE isnan({c})) AS n_nan, count(*) FILTER (WHERE isinf({c})) AS n_inf, min({c}) = max({c}) AS is_constant FROM (SELECT {_spoilt_sql('l_quantity', 'l_linenumber')}, l_discount, l_tax * 0 AS l_tax FROM lineitem)""" for c in ("l_quantity", "l_discount", "l_tax")))
 def feature_checks(spark, sf_dir):
-    return V.feature_checks(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"])
+    rows = table(spark, sf_dir, "lineitem").select(spoilt("l_quantity", "l_linenumber"), "l_discount", (F.col("l_tax") * 0).alias("l_tax"))
+    return V.feature_checks(rows, ["l_quantity", "l_discount", "l_tax"])
 
 
 @query("SELECT count(quality) AS n, count(DISTINCT quality) AS n_classes, count(*) FILTER (WHERE quality NOT IN (0)) AS n_outside FROM labels")
@@ -175,9 +197,9 @@ def label_check(spark, sf_dir):
     return V.label_check(table(spark, sf_dir, "labels"), "quality", [0])
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS n_negative, 0::BIGINT AS n_not_finite FROM customer")
+@query(f"SELECT count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS n_negative, count(*) FILTER (WHERE c_acctbal IS NULL OR isnan(c_acctbal) OR isinf(c_acctbal)) AS n_not_finite FROM (SELECT {_spoilt_sql('c_acctbal', 'c_nationkey')} FROM customer)")
 def weight_check(spark, sf_dir):
-    return V.weight_check(table(spark, sf_dir, "customer"), "c_acctbal")
+    return V.weight_check(table(spark, sf_dir, "customer").select(spoilt("c_acctbal", "c_nationkey")), "c_acctbal")
 
 
 @query("SELECT count(*) AS n_samples, 2::INT AS n_features, count(*) >= 10 AS valid FROM lineitem")

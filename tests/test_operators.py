@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 
 from marlstone.operators import metrics, outliers, privacy, quality, relational, selection, validation
 from marlstone.operators import timeseries as ts
@@ -52,6 +53,18 @@ def test_noise_is_the_same_when_recomputed(spark):
     a = privacy.private_rows(df, "id", ["x"], 100.0, 1.0, seed=3).orderBy("id").collect()
     b = privacy.private_rows(df.repartition(7), "id", ["x"], 100.0, 1.0, seed=3).orderBy("id").collect()
     assert a == b and a != df.orderBy("id").collect()
+    assert a != privacy.private_rows(df, "id", ["x"], 100.0, 1.0, seed=4).orderBy("id").collect()
+
+
+def test_noise_needs_a_seed(spark):
+    df = spark.range(20000).select("id", F.col("id").cast("double").alias("x"), (F.col("id") % 2).alias("y"))
+    for call in (lambda: privacy.private_rows(df, "id", ["x"], 1.0, 1.0), lambda: privacy.private_mean(df, ["x"], 1.0, 1.0), lambda: privacy.private_labels(df, "id", "y", 1.0), lambda: privacy.private_training(df, ["x"], "y", 1, 1.0, 1.0, 0.1)):
+        with pytest.raises(ValueError):
+            call()
+    noise = df.select(privacy.laplace_noise(F.col("id"), 2.0, "s").alias("l"), privacy.gaussian_noise(F.col("id"), 3.0, "s").alias("g"))
+    r = noise.agg(F.avg("l").alias("ml"), F.stddev("l").alias("sl"), F.avg("g").alias("mg"), F.stddev("g").alias("sg"), F.corr("l", "g").alias("c")).first()
+    assert abs(r["ml"]) < 0.1 and r["sl"] == pytest.approx(2 * 2**0.5, rel=0.05) and abs(r["mg"]) < 0.1 and r["sg"] == pytest.approx(3, rel=0.05) and abs(r["c"]) < 0.05
+    assert privacy.private_training(df, ["x"], "y", 2, 1.0, 1.0, 0.1, "s") == pytest.approx(privacy.private_training(df.repartition(3), ["x"], "y", 2, 1.0, 1.0, 0.1, "s"))
 
 
 def test_clipping_keeps_the_norm(spark):
