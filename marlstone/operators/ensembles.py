@@ -15,18 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import hash_uniform
-from .model_selection import fold_equations, solve
+from .model_selection import fold_equations, solve, weighted_products
 from .models import best_stump, stump_cuts
 
 
-def _equations(df: DataFrame, columns: Sequence[str], weights: Sequence[Column]) -> list[np.ndarray]:
-    """For each weight the weighted products of (1, columns) with each other, all in one aggregation."""
-    v = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
-    d = len(v)
-    row = df.agg(*[F.sum(w * v[i] * v[j]).alias(f"s{k}_{i}_{j}") for k, w in enumerate(weights) for i in range(d) for j in range(i, d)]).first()
-    return [np.array([[row[f"s{k}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)]) for k in range(len(weights))]
-
-
 def poisson_count(u: Column, most: int = 12) -> Column:
     """How often a bootstrap draws a row: Poisson(1) from a uniform number."""
     steps = [exp(-1) * sum(1 / factorial(i) for i in range(k + 1)) for k in range(most)]
@@ -39,7 +31,7 @@ def bagged_linear(df: DataFrame, key: str, columns: Sequence[str], target: str,
     A row's count in a bag is a function of its key, so bags need no copies of rows.
     """
     draw = uniform or (lambda b: hash_uniform(F.col(key), seed + b))
-    found = [solve(s, ridge) for s in _equations(df, [*columns, target], [poisson_count(draw(b)) for b in range(bags)])]
+    found = [solve(s, ridge) for s in weighted_products(df, [*columns, target], [poisson_count(draw(b)) for b in range(bags)])]
     return df.sparkSession.createDataFrame([(b, *map(float, w)) for b, w in enumerate(found)], "bag int, intercept double, " + ", ".join(f"`{c}` double" for c in columns))
 
 
@@ -153,7 +145,7 @@ def regressor_chain(df: DataFrame, columns: Sequence[str], targets: Sequence[str
 
 
 def _chained(df, columns, targets, ridge, chain):
-    sums = _equations(df, [*columns, *targets], [F.lit(1.0)])[0]
+    sums = weighted_products(df, [*columns, *targets], [F.lit(1.0)])[0]
     out, d = {}, len(columns) + 1
     for k, target in enumerate(targets):
         seen = [*range(d), *(range(d, d + k) if chain else [])]
@@ -173,13 +165,13 @@ def chain_predictions(df: DataFrame, models: Mapping[str, Mapping[str, float]],
 def ridge_classifier(df: DataFrame, columns: Sequence[str], label: str, alpha: float = 1.0) -> dict[str, float]:
     """Coefficients of ridge regression on labels of -1 and 1; positive values predict 1. Labels are 0 and 1."""
     signed = df.select(*columns, (2 * F.col(label) - 1).alias("_signed"))
-    sums = _equations(signed, [*columns, "_signed"], [F.lit(1.0)])[0]
+    sums = weighted_products(signed, [*columns, "_signed"], [F.lit(1.0)])[0]
     return dict(zip(["intercept", *columns], solve(sums, alpha).tolist()))
 
 
 def transformed_target(df: DataFrame, columns: Sequence[str], target: str, forward: Callable[[Column], Column], backward: Callable[[Column], Column]) -> Column:
     """The prediction of a linear model of forward(target), turned back."""
-    sums = _equations(df.select(*columns, forward(F.col(target)).alias("_forward")), [*columns, "_forward"], [F.lit(1.0)])[0]
+    sums = weighted_products(df.select(*columns, forward(F.col(target)).alias("_forward")), [*columns, "_forward"], [F.lit(1.0)])[0]
     b = solve(sums).tolist()
     return backward(sum((F.col(c) * v for c, v in zip(columns, b[1:])), F.lit(b[0])))
 
@@ -192,7 +184,7 @@ class IncrementalLinear:
         self.sums = np.zeros((len(self.columns) + 2,) * 2)
 
     def partial_fit(self, batch: DataFrame) -> IncrementalLinear:
-        self.sums = self.sums + _equations(batch, [*self.columns, self.target], [F.lit(1.0)])[0]
+        self.sums = self.sums + weighted_products(batch, [*self.columns, self.target], [F.lit(1.0)])[0]
         return self
 
     def coefficients(self, ridge: float = 0.0) -> dict[str, float]:

@@ -13,15 +13,38 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fitting import block_sums, numeric
 from .ordering import row_numbers
 
 
+#: Sums of products that one aggregation takes as expressions; more are added up in blocks of rows.
+MOST_EXPRESSIONS = 256
+
+
+def weighted_products(df: DataFrame, columns: Sequence[str], weights: Sequence[Column]) -> list[np.ndarray]:
+    """For each weight (null counts as 0) the products of (1, columns) with each other, summed over the rows without a gap in a column, in one pass."""
+    d = len(columns) + 1
+    names, shares = [f"_c{k}" for k in range(d - 1)], [f"_w{k}" for k in range(len(weights))]
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], *[F.coalesce(w.cast("double"), F.lit(0.0)).alias(n) for w, n in zip(weights, shares)])
+    rows = numeric(rows, names, *shares)  # the weights come first
+    if len(weights) * d * (d + 1) // 2 > MOST_EXPRESSIONS:
+
+        def step(v):
+            z = np.column_stack([np.ones(len(v)), v[:, len(shares) :]])
+            return np.concatenate([((z * v[:, k, None]).T @ z).ravel() for k in range(len(shares))])
+
+        return list(block_sums(rows, step, len(weights) * d * d).reshape(-1, d, d))
+    v = [F.lit(1.0), *[F.col(n) for n in names]]
+    row = rows.agg(*[F.sum(F.col(w) * v[i] * v[j]).alias(f"s{k}_{i}_{j}") for k, w in enumerate(shares) for i in range(d) for j in range(i, d)]).first()
+    return [np.array([[row[f"s{k}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)]) for k in range(len(weights))]
+
+
 def fold_equations(df: DataFrame, columns: Sequence[str], target: str, fold: str) -> dict[int, np.ndarray]:
-    """For each fold the products of (1, columns, target) with each other, summed over its rows; folds are few."""
-    v = [F.lit(1.0), *[F.col(c).cast("double") for c in [*columns, target]]]
-    d = len(v)
-    rows = df.groupBy(F.col(fold).alias("_fold")).agg(*[F.sum(v[i] * v[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)]).collect()
-    return {r["_fold"]: np.array([[r[f"s{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)]) for r in rows}
+    """For each fold the products of (1, columns, target) with each other, summed over its rows without a gap; folds are few, and a row without one is left out."""
+    folds = [r["_fold"] for r in df.select(F.col(fold).alias("_fold")).filter("_fold IS NOT NULL").distinct().collect()]
+    if not folds:
+        return {}
+    return dict(zip(folds, weighted_products(df, [*columns, target], [F.when(F.col(fold) == k, 1.0) for k in folds])))
 
 
 def solve(sums: np.ndarray, ridge: float = 0.0) -> np.ndarray:

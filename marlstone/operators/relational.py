@@ -139,7 +139,7 @@ def rule_alerts(metrics: DataFrame, key: str, names: Sequence[str], rules: DataF
     """Rules broken by each row's metrics: metrics are unpivoted and meet the rules by name."""
     long = metrics.unpivot([key], list(names), "metric", "value")
     holds = F.when(F.col("op") == ">=", F.col("value") >= F.col("bound")).when(F.col("op") == "<=", F.col("value") <= F.col("bound")).when(F.col("op") == ">", F.col("value") > F.col("bound")).when(F.col("op") == "<", F.col("value") < F.col("bound")).otherwise(F.col("value") == F.col("bound"))
-    return long.join(F.broadcast(rules), "metric").filter(~holds).select(key, "metric", "op", "bound", "severity", "value")
+    return long.join(rules, "metric").filter(~holds).select(key, "metric", "op", "bound", "severity", "value")
 
 
 def two_sided_semi(df: DataFrame, left: str, right: str, members: DataFrame, member: str) -> DataFrame:

@@ -66,7 +66,7 @@ def member_rankings(spark, sf_dir):
 FROM nation JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def consortium_stats(spark, sf_dir):
     per_member = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("value"))
-    members = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    members = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     joined = members.join(per_member, F.col("c_custkey") == F.col("o_custkey"), "left")
     return joined.groupBy("n_name").agg(F.count_distinct("c_custkey").alias("members"), F.count_distinct(F.when(F.col("c_acctbal") >= 0, F.col("c_custkey"))).alias("active_members"), F.coalesce(F.sum("n"), F.lit(0)).alias("contributions"), F.round(F.sum("value") / F.sum("n"), 6).alias("avg_value"))
 
@@ -172,7 +172,7 @@ def compliance_score(spark, sf_dir):
 def _benchmarks(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     points = F.percentile("p_retailprice", F.array(*[F.lit(p / 100) for p in (10, 25, 50, 75, 90)]))
-    return parts.join(F.broadcast(parts.groupBy("p_brand").agg(points.alias("points"))), "p_brand")
+    return parts.join(parts.groupBy("p_brand").agg(points.alias("points")), "p_brand")
 
 
 _BENCH = """b AS (SELECT p_brand, quantile_cont(p_retailprice, 0.1) AS p10, quantile_cont(p_retailprice, 0.25) AS p25, quantile_cont(p_retailprice, 0.5) AS p50,
@@ -363,7 +363,7 @@ def existence_test(spark, sf_dir):
 def path_join_distinct(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").filter("r_name = 'EUROPE'"), F.col("n_regionkey") == F.col("r_regionkey"))
     active = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
-    return active.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count_distinct("c_custkey").alias("companies"))
+    return active.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count_distinct("c_custkey").alias("companies"))
 
 
 @query("""SELECT event_id, attempts, due FROM (SELECT event_id, (event_id % 6)::INT AS attempts, ts + INTERVAL 1 HOUR AS due FROM events WHERE event_type = 'error')

@@ -49,3 +49,17 @@ def test_samples_are_of_the_grid(spark):
     grid = {"a": [1, 2, 3], "b": ["x", "y"]}
     drawn = S.parameter_samples(spark, grid, 6, 1)
     assert len({tuple(d.values()) for d in drawn}) == 6 and drawn == S.parameter_samples(spark, grid, 6, 1)
+
+
+def test_many_products_are_summed_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 25))
+    rows = [(*map(float, r), i % 3) for i, r in enumerate(x)] + [(None, *[9.0] * 24, 0), (float("nan"), *[9.0] * 24, 1), (*[5.0] * 25, None)]
+    names = [f"x{k}" for k in range(25)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names) + ", fold int").repartition(4)
+    for width in (3, 25):  # as expressions, and in blocks
+        got = S.fold_equations(df, names[: width - 1], names[width - 1], "fold")
+        for k in range(3):
+            z = np.column_stack([np.ones(30), x[np.arange(90) % 3 == k][:, :width]])
+            assert np.allclose(got[k], z.T @ z) and len(got) == 3
+    assert S.fold_equations(df.limit(0), names[:2], "x3", "fold") == {}
