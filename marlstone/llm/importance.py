@@ -43,7 +43,7 @@ from .storage import discard, materialize
 
 BUCKETS, WIDTH, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
 #: Words that a task counts at a time, bytes of text that a slot of the dictionary stands for, bytes of the sample that finds hot pairs.
-FLUSH, SLOT_BYTES, SAMPLE_BYTES = 1 << 21, 12 << 20, 16 << 20
+FLUSH, SLOT_BYTES, SAMPLE_BYTES = 1 << 20, 12 << 20, 16 << 20
 #: A pair is hot if it has more than this share of a slot's words in the sample.
 HOT_SHARE = 1 / 8
 
@@ -144,6 +144,7 @@ def blocks_of(batches, most: int = FLUSH) -> Iterator[tuple[Block, list]]:
             keys.append([c[k] for c in lead])
         if len(block) >= most:
             yield block, keys
+            del block, keys
             block, keys = Block(), []
     if keys:
         yield block, keys
@@ -198,8 +199,11 @@ class _Slots:
         self.a, self.b = pairs // n, pairs % n
         place = np.zeros(len(ids) + 1, np.int64)
         place[two] = of_place
+        del of_place, two
         triples, self.threes = np.unique(place[three] * n + ids[three + 2], return_counts=True)
+        del place, three, ids
         pair, self.c = triples // n, triples % n
+        del triples
         mark = _pair_mark(marks[self.a], marks[self.b])
         home = (mark % np.uint64(slots)).astype(np.int64)
         slot = home[pair]
@@ -209,8 +213,10 @@ class _Slots:
         at_home = np.sort(home * m + np.arange(len(pairs)))
         self.pairs = _distinct(np.concatenate([at_home, slot[spread] * m + pair[spread]]))  # a hot pair is listed wherever its longer runs are
         key = slot * m + pair
+        del slot, pair
         self.triples = np.argsort(key, kind="stable")
-        ends = np.searchsorted(key[self.triples], self.pairs, "right")
+        key = key[self.triples]
+        ends = np.searchsorted(key, self.pairs, "right")
         self.longer = np.diff(ends, prepend=0)
         self.here = np.zeros(len(self.pairs), bool)
         self.here[np.searchsorted(self.pairs, at_home)] = True
@@ -219,7 +225,7 @@ class _Slots:
         every = np.arange(slots + 1)
         self.single_cuts = np.searchsorted((marks % np.uint64(slots)).astype(np.int64)[self.singles], every)
         self.pair_cuts = np.searchsorted(self.pairs, every * m)
-        self.triple_cuts = np.searchsorted(key[self.triples] // m, every)
+        self.triple_cuts = np.searchsorted(key // m, every)
 
     def pack(self, s: int) -> bytes | None:
         """One slot's n-grams: words, then single words, pairs in order with the number of longer runs after each, and the last words of these."""
@@ -280,11 +286,13 @@ def merged(blobs: list[bytes], buckets: int) -> np.ndarray:
         parts.append([number[one], ones, number[a], number[b], twos, np.repeat(np.arange(len(a)), longer) + n_pairs, number[c], threes])
         n_pairs += len(a)
     one, ones, a, b, twos, pair, c, threes = map(np.concatenate, zip(*parts))
+    parts.clear()
     n, crcs, out = max(1, len(known)), _Crcs(list(known)), np.zeros(buckets, np.int64)
     add = lambda crc, counts: np.add.at(out, (crc % np.uint32(buckets)).astype(np.int64), counts)
     single, _, sums = _summed(one, ones)
     add(crcs.word[single], sums)
     pairs, place, sums = _summed(a * n + b, twos)
+    del one, ones, a, b, twos
     crc = crcs.join(crcs.word[pairs // n], pairs % n)
     add(crc, sums)
     triples, _, sums = _summed(place[pair] * n + c, threes)
@@ -333,6 +341,7 @@ def bucket_counts(rows: DataFrame, text_col: str = "text", buckets: int = BUCKET
             for s in range(slots):
                 if (blob := dealt.pack(s)) is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([blob], pa.binary())], ["slot", "blob"])
+            del block, dealt  # before the next block is read
 
     def merge(batches):
         import pyarrow as pa
@@ -369,7 +378,7 @@ def weights(docs: DataFrame, gained: DataFrame, id_col: str = "doc_id", text_col
     def run(batches):
         import pyarrow as pa
 
-        for block, keys in blocks_of(batches, FLUSH // 8):
+        for block, keys in blocks_of(batches, FLUSH // 4):
             crcs = _Crcs(list(block.known))
             ids, two, three = block.runs()
             n, sizes = max(1, len(crcs.word)), np.array(block.sizes, np.int64)
