@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_groups import slices
+from .arrow_groups import give_back, slices
 from .ship import ship
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -194,6 +194,7 @@ class Encoder:
 
     def __init__(self, data: bytes) -> None:
         self.tokenizer, self.bytes, self.starts = _codec(data)
+        give_back()
         self.alphabet = byte_alphabet()
         self._forget()
 
@@ -203,6 +204,11 @@ class Encoder:
         self.n_pool = 0
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def rest(self) -> None:
+        """Let go of the pieces when a task ends: the worker waits idle beside those of later stages."""
+        self._forget()
+        give_back()
+
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces in one call; each is a word of a pretokenised sequence."""
         alphabet = self.alphabet
@@ -317,6 +323,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
                 spans = [codec.char_offsets(t, x) if len(x) else (np.zeros(0), np.zeros(0)) for t, x in zip(texts, found)]
                 columns += [pa.array([s[k].astype(np.int32) for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+        codec.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -365,5 +372,6 @@ def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
                 ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+        codec.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from marlstone.llm import importance
+from marlstone.llm import bpe, importance
 from marlstone.llm.ship import BATCH_BYTES, BATCH_KEY, ship
 
 
@@ -61,3 +61,14 @@ def test_counts_do_not_depend_on_the_blocks():
         dealt = [importance._Slots(block, 3, np.zeros(0, np.uint64)) for block, _ in importance.blocks_of(iter([batch]), most)]
         found.append(sum(importance.merged([x for d in dealt if (x := d.pack(s)) is not None], 997) for s in range(3)))
     assert (found[0] == found[1]).all() and (found[1] == found[2]).all() and found[0].sum() == 400 * (250 + 249 + 248)
+
+
+def test_an_encoder_at_rest_holds_no_pieces():
+    import base64
+
+    data = b"\n".join(base64.b64encode(bytes([k])) + b" %d" % k for k in range(256))
+    codec = bpe.Encoder(data)
+    first = [x.tolist() for x in codec.encode(iter(["some words", "some others"]))]
+    codec.rest()
+    assert not codec.known and not codec.n_pool
+    assert [x.tolist() for x in codec.encode(iter(["some words", "some others"]))] == first
