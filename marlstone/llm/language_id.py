@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
@@ -53,14 +53,16 @@ from .storage import discard, materialize
 DICT_BYTES = 1 << 16
 #: Longer words are counted by their runs of so many characters.
 LONG_WORD, RUN = 32, 4
-#: Distinct words that a task counts before it sends them on.
-MOST_DISTINCT = 1 << 17
+#: Words with their counts that a task holds before it adds them up; if more than half stay, they are sent on.
+MOST_DISTINCT = 1 << 20
 #: Languages learned, the most frequent ones, so that the dictionaries stay near 16 MB.
 MOST_LANGUAGES = 250
 #: Compression level of all texts: lower ones overlook short matches.
 LEVEL = 10
 #: Texts of twice this many bytes and more are cut into equal blocks of one to two times as many.
 BLOCK_BYTES = 1 << 15
+#: Bytes of prepared texts that a dictionary encodes before it is the next one's turn.
+TURN_BYTES = 1 << 18
 #: The least relative difference between the two smallest outputs that is no tie; least margins are never below it.
 LEAST_MARGIN = 0.001
 #: The quantile of right predictions' margins, the fewest that give one, and the share of it that is asked for.
@@ -69,7 +71,7 @@ MARGIN_QUANTILE, LEAST_RIGHT, MARGIN_SHARE = 0.01, 50, 0.5
 MARGIN_FOLD, MARGIN_ROWS = 4, 400
 UNKNOWN = "und"
 
-_BLANKS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+_LETTERS = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 
 
 class Model(list):
@@ -78,23 +80,77 @@ class Model(list):
     scale: float = 0.0
 
 
-def prepare(text: str) -> bytes:
-    return b" ".join(text.lower().encode().translate(_BLANKS).split())
-
-
-def counted_words(texts: Iterable[str]) -> Counter:
-    """Occurrences of each word of some texts."""
-    return Counter(prepare("\n".join(texts)).split())
+def _lowered(text: str) -> bytes:
+    return (text if text.isascii() else text.lower()).encode().translate(_LETTERS)
 
 
-def _short_words(counts: Counter) -> Counter:
-    """counts with the runs of long words in their place."""
-    long = [w for w in counts if len(w) > LONG_WORD]
-    for word in long:
-        n, text = counts.pop(word), word.decode()
-        for run, times in Counter(text[i : i + RUN] for i in range(max(1, len(text) - RUN + 1))).items():
-            counts[run.encode()] += n * times
-    return counts
+def prepare(text: str) -> bytes:
+    data = _lowered(text)
+    while b"  " in data:
+        data = data.replace(b"  ", b" ")
+    return data.strip(b" ")
+
+
+def _runs(word: str) -> Iterable[str]:
+    return (word[i : i + RUN] for i in range(max(1, len(word) - RUN + 1)))
+
+
+def counted_words(texts: Iterable[str], fold: int):
+    """word, n0, n1: a table of the occurrences of each word of some texts, which are of one fold."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    found = pc.split_pattern(pa.array([_lowered("\n".join(texts))], pa.large_binary()), b" ").flatten().value_counts()
+    words, counts = found.field(0), found.field(1)
+    none = pa.repeat(pa.scalar(0, pa.int64()), len(counts))
+    return pa.table([words, none if fold else counts, counts if fold else none], ["word", "n0", "n1"])
+
+
+def _short_words(words):
+    """words with the runs of long ones in their place."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    size = pc.binary_length(words["word"])
+    runs: tuple[Counter, Counter] = (Counter(), Counter())
+    for word, *counts in zip(*(c.to_pylist() for c in words.filter(pc.greater(size, LONG_WORD)).columns)):
+        for run, times in Counter(_runs(word.decode())).items():
+            for of, n in zip(runs, counts):
+                of[run] += n * times
+    short = words.filter(pc.and_(pc.greater(size, 0), pc.less_equal(size, LONG_WORD)))
+    return pa.concat_tables([short, pa.table([pa.array([r.encode() for r in runs[0]], pa.large_binary()), *(pa.array(list(of.values()), pa.int64()) for of in runs)], short.column_names)])
+
+
+def counted_rows(batches: Iterable, most: int):
+    """Batches of lang, word, n0, n1, for batches of (lang, fold, text): each word of a language once, unless there are too many to hold."""
+    import pyarrow as pa
+
+    def added_up(words: list):
+        sums = pa.concat_tables(words).group_by("word", use_threads=False).aggregate([("n0", "sum"), ("n1", "sum")])
+        return sums.select(["word", "n0_sum", "n1_sum"]).rename_columns(["word", "n0", "n1"])
+
+    def sent():
+        for lang, words in held.items():
+            out = _short_words(added_up(words))
+            out = out.set_column(0, "word", out["word"].cast(pa.string())).add_column(0, "lang", pa.repeat(pa.scalar(lang, pa.string()), len(out)))
+            yield from out.combine_chunks().to_batches(max_chunksize=10_000)
+        held.clear()
+
+    held: dict[str, list] = {}
+    size = lambda: sum(len(w) for words in held.values() for w in words)
+    for b in slices(batches):
+        texts: dict[tuple[str, int], list[str]] = {}
+        for lang, fold, text in zip(*(c.to_pylist() for c in b.columns)):
+            texts.setdefault((lang, fold), []).append(text)
+        for (lang, fold), own in texts.items():
+            held.setdefault(lang, []).append(counted_words(own, fold))
+        if size() > most:
+            for lang, words in held.items():
+                held[lang] = [added_up(words)]
+            if 2 * size() > most:
+                yield from sent()
+    yield from sent()
+    give_back()
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -102,28 +158,9 @@ def word_counts(rows: DataFrame) -> DataFrame:
     ship(rows.sparkSession)
 
     def run(batches):
-        import pyarrow as pa
-
-        def flushed():
-            for (lang, fold), found in counts.items():
-                found = _short_words(found)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([fold] * len(found), pa.int32()), pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "fold", "word", "n"])
-            counts.clear()
-
-        counts: dict[tuple[str, int], Counter] = {}
-        for b in slices(batches):
-            texts: dict[tuple[str, int], list[str]] = {}
-            for lang, fold, text in zip(*(c.to_pylist() for c in b.columns)):
-                texts.setdefault((lang, fold), []).append(text)
-            for key, own in texts.items():
-                counts.setdefault(key, Counter()).update(counted_words(own))
-            if sum(map(len, counts.values())) > MOST_DISTINCT:
-                yield from flushed()
-        yield from flushed()
-        give_back()
+        yield from counted_rows(batches, MOST_DISTINCT)
 
-    of = lambda fold: F.sum(F.when(F.col("fold") == fold, F.col("n")).otherwise(0)).alias(f"n{fold}")
-    return rows.select("lang", "fold", "text").mapInArrow(run, "lang string, fold int, word string, n long").groupBy("lang", "word").agg(of(0), of(1))
+    return rows.select("lang", "fold", "text").mapInArrow(run, "lang string, word string, n0 long, n1 long").groupBy("lang", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def dictionaries(words: DataFrame) -> DataFrame:
@@ -166,8 +203,8 @@ def _scale(rows: DataFrame, models: tuple[Model, Model]) -> float:
         import pyarrow as pa
 
         for b in slices(batches):
-            found = [(lang, *_encode(packed.value[fold], t)) for lang, fold, t in zip(*(c.to_pylist() for c in b.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array([margin * math.sqrt(n) for lang, pred, _, margin, n in found if lang == pred], pa.float64())], ["margin"])
+            margins = _right_margins(packed.value, list(zip(*(c.to_pylist() for c in b.columns))))
+            yield pa.RecordBatch.from_arrays([pa.array(margins, pa.float64())], ["margin"])
         _rest()
 
     right = materialize(rows.mapInArrow(run, "margin double"), "margins")
@@ -176,6 +213,19 @@ def _scale(rows: DataFrame, models: tuple[Model, Model]) -> float:
     return scale
 
 
+def _right_margins(models: tuple, rows: list[tuple[str, int, str]]) -> list[float]:
+    """Margin times root of the bytes of each right prediction of rows (lang, fold, text).
+
+    The folds go one after the other: the tables of both models don't fit the processor's caches together.
+    """
+    margins: list[float] = []
+    for k, model in enumerate(models):
+        own = [(lang, text) for lang, fold, text in rows if fold == k]
+        found = _encoded(model, (text for _, text in own))
+        margins += [margin * math.sqrt(n) for (lang, _), (pred, _, margin, n) in zip(own, found) if lang == pred]
+    return margins
+
+
 def least_margin(scale: float, n_bytes: int) -> float:
     """The least margin of a text of n_bytes: chance moves sizes by the square root of the length."""
     return max(LEAST_MARGIN, scale / math.sqrt(max(1, n_bytes)))
@@ -199,35 +249,52 @@ def _rest() -> None:
     give_back()
 
 
-def _sizes(model: tuple[tuple[str, bytes], ...], data: bytes) -> list[int]:
-    """Bytes of the whole text under each dictionary, summed over its blocks."""
-    n = max(1, len(data) // BLOCK_BYTES)
-    blocks = [data[len(data) * i // n : len(data) * (i + 1) // n] for i in range(n)]
-    return [sum(len(c.compress(b)) for b in blocks) for c in _compressors(model)]
+def _sizes(model: tuple[tuple[str, bytes], ...], texts: list[bytes]) -> Iterable[tuple[int, ...]]:
+    """Bytes of each whole text under each dictionary, summed over its blocks; each dictionary encodes all texts before the next."""
+    cut = []
+    for data in texts:
+        n = max(1, len(data) // BLOCK_BYTES)
+        cut.append([data[len(data) * i // n : len(data) * (i + 1) // n] for i in range(n)])
+    return zip(*([sum(len(c.compress(b)) for b in blocks) for blocks in cut] for c in _compressors(model)))
 
 
-def _encode(model: tuple[tuple[str, bytes], ...], text: str | None) -> tuple[str, float, float, int]:
-    """(language, score, margin, bytes encoded)"""
-    if not model or text is None or not any(map(str.isalpha, text)):
-        return UNKNOWN, 0.0, 0.0, 0
-    data = prepare(text)
-    sizes = _sizes(model, data)
+def _found(model: tuple[tuple[str, bytes], ...], sizes: tuple[int, ...], n_bytes: int) -> tuple[str, float, float, int]:
     best = min(sizes)
     at = sizes.index(best)
     rest = sorted(sizes)[1] if len(sizes) > 1 else 2 * best
     score = 1 / sum(math.exp(-min(700.0, (s - best) / 2)) for s in sizes)
-    return model[at][0], score, (rest - best) / max(rest, 1), len(data)
+    return model[at][0], score, (rest - best) / max(rest, 1), n_bytes
+
+
+def _encoded(model: tuple[tuple[str, bytes], ...], texts: Iterable[str | None]) -> Iterator[tuple[str, float, float, int]]:
+    """(language, score, margin, bytes encoded) of each text, in their order."""
+
+    def turn():
+        sizes = iter(_sizes(model, [d for d in held if d is not None]))
+        for data in held:
+            yield (UNKNOWN, 0.0, 0.0, 0) if data is None else _found(model, next(sizes), len(data))
+        held.clear()
+
+    held: list[bytes | None] = []
+    size = 0
+    for text in texts:
+        held.append(prepare(text) if model and text is not None and any(map(str.isalpha, text)) else None)
+        size += len(held[-1] or b"")
+        if size >= TURN_BYTES:
+            yield from turn()
+            size = 0
+    yield from turn()
 
 
 def classify(model: tuple[tuple[str, bytes], ...], text: str | None) -> tuple[str, float, float]:
     """(language, score, margin)"""
-    return _encode(model, text)[:3]
+    return next(_encoded(model, [text]))[:3]
 
 
-def judge(model: tuple[tuple[str, bytes], ...], scale: float, text: str | None) -> tuple[str, float, float, bool]:
-    """(language, score, margin, rejected)"""
-    lang, score, margin, n = _encode(model, text)
-    return lang, score, margin, lang == UNKNOWN or margin < least_margin(scale, n)
+def judged(model: tuple[tuple[str, bytes], ...], scale: float, texts: Iterable[str | None]) -> Iterator[tuple[str, float, float, bool]]:
+    """(language, score, margin, rejected) of each text, in their order."""
+    for lang, score, margin, n in _encoded(model, texts):
+        yield lang, score, margin, lang == UNKNOWN or margin < least_margin(scale, n)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,7 +306,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         import pyarrow as pa
 
         for b in slices(batches):
-            rows = [judge(*packed.value, t) for t in b.column(2).to_pylist()]
+            rows = list(judged(*packed.value, b.column(2).to_pylist()))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "held_out", "lang_pred", "score", "margin", "rejected"])
         _rest()
@@ -258,7 +325,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
         import pyarrow as pa
 
         for b in slices(batches):
-            yield b.filter(pa.array([not judge(*packed.value, t)[3] for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([not rejected for *_, rejected in judged(*packed.value, b.column(at).to_pylist())], pa.bool_()))
         _rest()
 
     return docs.mapInArrow(run, docs.schema)

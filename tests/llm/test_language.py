@@ -77,3 +77,43 @@ def test_margins_are_those_of_all_training_rows(spark, monkeypatch):
         if lang == r["lang"]:
             right.append(margin * len(language_id.prepare(r["text"])) ** 0.5)
     assert model.scale == pytest.approx(language_id.MARGIN_SHARE * np.percentile(right, 100 * language_id.MARGIN_QUANTILE))
+
+
+def test_a_task_sends_each_word_once(spark):
+    import pyarrow as pa
+
+    texts = ["One two, two " + "漢字" * 20, "two THREE", None, "", "12 !?"]
+    rows = [(lang, fold, text) for lang in ("x", "y") for fold in (0, 1) for text in texts if text is not None] * 20
+    batches = lambda: iter(pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 30])], ["lang", "fold", "text"]) for i in range(0, len(rows), 30))
+    sent = lambda most: [tuple(r.values()) for b in language_id.counted_rows(batches(), most) for r in b.to_pylist()]
+    once = sent(1 << 20)
+    words = {"one": 20, "two": 60, "three": 20, "漢字漢字": 19 * 20, "字漢字漢": 18 * 20}
+    assert Counter(once) == Counter((lang, word, n, n) for lang in ("x", "y") for word, n in words.items())
+    often, sums = sent(4), {}
+    for lang, word, *counts in often:
+        sums[lang, word] = [a + b for a, b in zip(sums.get((lang, word), (0, 0)), counts)]
+    assert len(often) > len(once) and {(*k, *v) for k, v in sums.items()} == set(once)
+
+
+def test_a_dictionary_encodes_many_texts_in_turn(monkeypatch):
+    rng = random.Random(4)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(300)] for lang, letters in (("aa", "abcdefg"), ("bb", "abcxyz"))}
+    prose = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    models = tuple(tuple((lang, prose(lang, 2000).encode()) for lang in ("aa", "bb")) for _ in range(2))
+    rows = [(rng.choice(["aa", "bb"]), rng.randint(0, 1), prose(rng.choice(["aa", "bb"]), rng.choice([0, 3, 200, 9000]))) for _ in range(60)]
+    compressors, calls = language_id._compressors, []
+
+    class Called:
+        def __init__(self, compressor, at):
+            self.compressor, self.at = compressor, at
+
+        def compress(self, data):
+            calls.append(self.at)
+            return self.compressor.compress(data)
+
+    monkeypatch.setattr(language_id, "_compressors", lambda model: [Called(c, (model, k)) for k, c in enumerate(compressors(model))])
+    got = language_id._right_margins(models, rows)
+    turns = 1 + sum(a != b for a, b in zip(calls, calls[1:]))
+    assert turns <= 4 * (1 + sum(len(t) for _, _, t in rows) // language_id.TURN_BYTES) < len(calls) / 4
+    alone = [(lang, fold, text, *language_id.classify(models[fold], text)) for lang, fold, text in rows]
+    assert sorted(got) == sorted(margin * len(language_id.prepare(text)) ** 0.5 for lang, _, text, pred, _, margin in alone if lang == pred) and len(got) > 10
