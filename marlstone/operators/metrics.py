@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clip, dot
+from ..sources.shared import materialize
+from .neighbors import BLOCK, Cells, Kernel
 from .ordering import running_sums
 
 
@@ -108,14 +111,90 @@ def davies_bouldin(df: DataFrame, label: str, vector: str, dim: int) -> DataFram
     return worst.agg(F.avg("r").alias("score"))
 
 
+#: Numbers that a block of silhouette() holds: distance sums of its sites to each cluster.
+SUMS_AT_ONCE = 1 << 22
+#: Clusters whose sums are one product of matrices.
+FEW_CLUSTERS = 64
+
+
+class _ClusterMeans(Kernel):
+    """own, other: mean distances of the held sites to their own cluster and to the nearest other one."""
+
+    def start(self, site, v, label, n):
+        self.sums, self.rows = {}, {}
+
+    def meet(self, d, site, label, n):
+        finite = np.isfinite(d).all()
+        if not finite:  # a row does not meet itself, though inf - inf is no number
+            d = np.where((self.held[0][:, None] == site) & (n == 1), 0.0, d)
+        order = np.argsort(label, kind="stable")
+        names, first, of = np.unique(label[order], return_index=True, return_inverse=True)
+        rows = np.add.reduceat(n[order], first)
+        if finite and len(names) <= FEW_CLUSTERS:
+            weights = np.zeros((len(n), len(names)))
+            weights[order, of] = n[order]
+            sums = d @ weights
+        else:
+            sums = np.add.reduceat((d * n)[:, order], first, axis=1)
+        for k, name in enumerate(names.tolist()):
+            self.sums[name] = self.sums.get(name, 0.0) + sums[:, k]
+            self.rows[name] = self.rows.get(name, 0) + int(rows[k])
+
+    def result(self):
+        import pyarrow as pa
+
+        site, _, label, _ = self.held
+        own, other = np.full(len(site), np.nan), np.full(len(site), np.nan)
+        alone, near = np.ones(len(site), bool), np.zeros(len(site), bool)
+        for name, total in self.sums.items():
+            mine, rows = label == name, self.rows[name]
+            if rows > 1:
+                own[mine], alone[mine] = total[mine] / (rows - 1), False
+            other[~mine], near[~mine] = np.fmin(other, total / rows)[~mine], True
+        return {"site": site, "own": pa.array(own, mask=alone), "other": pa.array(other, mask=~near)}
+
+    def nothing(self):
+        import pyarrow as pa
+
+        return {"site": pa.array([], pa.int64()), "own": pa.array([], pa.float64()), "other": pa.array([], pa.float64())}
+
+
+def _cluster_means(rows: DataFrame) -> DataFrame:
+    """label, v, own, other of the distinct sites of rows (label, v), of which no label, vector or component is null."""
+    spark = rows.sparkSession
+    labels = materialize(rows.select("label").distinct().withColumn("code", F.monotonically_increasing_id()), "labels")
+    table = rows.groupBy("label", "v").agg(F.count(F.lit(1)).alias("n")).join(labels, "label").withColumn("site", F.monotonically_increasing_id())
+    table, clusters = materialize(table, "sites"), labels.count()
+    found = spark.createDataFrame([], "site long, own double, other double")
+    for width in sorted(r["w"] for r in table.select(F.size("v").alias("w")).distinct().collect()):  # usually one; vectors of different lengths have no distance
+        padded = F.col("v") if width else F.array(F.lit(0.0))
+        some = table.filter(F.size("v") == width).select("site", padded.alias("v"), F.col("code").alias("label"), "n")
+        cells = Cells(some, block=max(1, min(BLOCK, SUMS_AT_ONCE // clusters)))
+        found = found.unionByName(cells.sweep(cells.housed(some), some, "double('infinity')", _ClusterMeans, "site long, own double, other double"))
+    return table.select("site", "label", "v").join(found, "site").drop("site")
+
+
 def silhouette(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
-    """Mean silhouette by exact pairwise distances; a cluster of one scores 0."""
-    a = df.select(F.col(key).alias("i"), F.col(label).alias("li"), F.col(vector).alias("vi"))
-    b = df.select(F.col(key).alias("j"), F.col(label).alias("lj"), F.col(vector).alias("vj"))
-    means = a.join(b, F.col("i") != F.col("j")).groupBy("i", "li", "lj").agg(F.avg(F.sqrt(_distance2("vi", "vj"))).alias("d"))
-    per = means.groupBy("i").agg(F.min(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("own"), F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("other"))
+    """Mean silhouette by exact pairwise distances; a cluster of one scores 0.
+
+    Equal points of a cluster are one site with a weight, and blocks of sites meet all
+    sites: time grows with the square of the number of distinct points. Rows that share
+    a key do not meet; they are joined with all rows.
+    """
+    v = F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0))  # -0.0 counts as 0.0
+    rows = materialize(df.select(F.col(key).alias("i"), F.col(label).alias("label"), v.alias("v")).filter("i is not null"), "rows")
+    keys = rows.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    placed = rows.filter(F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    repeated = materialize(keys.filter("n > 1").select("i"), "repeated")
+    means = _cluster_means(placed)
+    per = placed.join(repeated, "i", "left_anti").groupBy("label", "v").agg(F.count(F.lit(1)).alias("n")).join(means, ["label", "v"]).select("n", "own", "other")
+    if not repeated.isEmpty():
+        a, b = placed.join(repeated, "i", "left_semi"), placed.select(F.col("i").alias("j"), F.col("label").alias("lj"), F.col("v").alias("vj"))
+        d = a.join(b, F.col("i") != F.col("j")).groupBy("i", "label", "lj").agg(F.avg(F.sqrt(_distance2("v", "vj"))).alias("d"))
+        per = per.unionByName(d.groupBy("i").agg(F.min(F.when(F.col("label") == F.col("lj"), F.col("d"))).alias("own"), F.min(F.when(F.col("label") != F.col("lj"), F.col("d"))).alias("other")).select(F.lit(1).cast("long").alias("n"), "own", "other"))
     s = F.when(F.col("own").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")), F.lit(0.0)))
-    return per.agg(F.avg(s).alias("silhouette"))
+    every = keys.agg(F.count(F.lit(1)).alias("rows"))  # rows without a label or point score 0
+    return per.agg(F.sum(F.col("n") * s).alias("total")).crossJoin(F.broadcast(every)).select(F.when(F.col("rows") > 1, F.coalesce("total", F.lit(0.0)) / F.col("rows")).alias("silhouette"))
 
 
 def latency_percentiles(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -115,7 +115,7 @@ class Cells:
             import pyarrow as pa
 
             for b in _pieces(batches):
-                near = distances(matrix(b.column(at)), pivots, metric) <= far[None, :]
+                near = ~(distances(matrix(b.column(at)), pivots, metric) > far[None, :])  # what is no number is near to all
                 row, cell = np.nonzero(near)
                 times = parts[cell]
                 part = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
