@@ -72,3 +72,25 @@ def test_an_encoder_at_rest_holds_no_pieces():
     codec.rest()
     assert not codec.known and not codec.n_pool
     assert [x.tolist() for x in codec.encode(iter(["some words", "some others"]))] == first
+
+
+def test_written_tables_leave_no_shuffles_and_the_setting_as_it_was(spark):
+    import gc
+    import time
+
+    from marlstone.llm import storage
+
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    shuffles = lambda: tracker.shuffleStatuses().size()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before = shuffles()
+    rows = spark.range(1000).selectExpr("id % 100 as g", "id").repartition(5, "id").groupBy("g").agg({"id": "sum"})
+    assert storage.written(rows, "sums").count() == 100
+    for _ in range(50):
+        if (after := shuffles()) <= before + 1:  # that of count()
+            break
+        time.sleep(0.1)
+    assert after <= before + 1
+    assert spark.conf.get(storage.CLEANUP_KEY, None) is None
